@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridact.llm import mixing, token_counts
-from veridact.llm.common import table
+from veridact.llm import decontamination, language_id, mixing, secrets, token_counts
+from veridact.llm.common import crc_mod, materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    found = language_id.identify(docs, language_id.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans", "lang_spans")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = materialize(secrets.scan(docs).drop("text"), "op9")
+    return secrets.find(scanned, secrets.discovery_thresholds(scanned)).drop("secret_base", "secret_candidates")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -50,5 +67,8 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op10_mixing": op10_mixing}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op4_decontamination, op7_language_id, op9_secrets, op10_mixing)
+}
 ORACLE = {"op10_mixing": OP10_SQL}
