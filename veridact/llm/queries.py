@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridact.llm import decontamination, language_id, mixing, secrets, token_counts
+from veridact.llm import decontamination, language_id, mixing, secrets, simhash, token_counts
 from veridact.llm.common import crc_mod, materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 3) == 1
@@ -69,6 +74,6 @@ FROM r
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op4_decontamination, op7_language_id, op9_secrets, op10_mixing)
+    for f in (op1_token_counts, op4_decontamination, op6_simhash, op7_language_id, op9_secrets, op10_mixing)
 }
 ORACLE = {"op10_mixing": OP10_SQL}
