@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridact.llm import decontamination, language_id, mixing, secrets, simhash, token_counts
+from veridact.llm import ann, decontamination, language_id, mixing, secrets, simhash, token_counts, warc
 from veridact.llm.common import crc_mod, materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, 'about:blank') AS uri, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS least
+  FROM pages
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > least THEN least END AS refers_to,
+       uri
+FROM p
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +55,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans", "lang_spans")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = materialize(secrets.scan(docs).drop("text"), "op9")
@@ -74,6 +100,6 @@ FROM r
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op4_decontamination, op6_simhash, op7_language_id, op9_secrets, op10_mixing)
+    for f in (op1_token_counts, op2_warc, op4_decontamination, op6_simhash, op7_language_id, op8_ann, op9_secrets, op10_mixing)
 }
-ORACLE = {"op10_mixing": OP10_SQL}
+ORACLE = {"op2_warc": OP2_SQL, "op10_mixing": OP10_SQL}
