@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridact.llm import ann, decontamination, language_id, mixing, secrets, simhash, token_counts, warc
+from veridact.llm import ann, decontamination, language_id, mixing, ngram_lm, secrets, simhash, substring_dedup, token_counts, warc
 from veridact.llm.common import crc_mod, materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,10 +39,19 @@ FROM p
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -100,6 +109,6 @@ FROM r
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_warc, op4_decontamination, op6_simhash, op7_language_id, op8_ann, op9_secrets, op10_mixing)
+    for f in (op1_token_counts, op2_warc, op3_substring_dedup, op4_decontamination, op5_ngram_lm, op6_simhash, op7_language_id, op8_ann, op9_secrets, op10_mixing)
 }
 ORACLE = {"op2_warc": OP2_SQL, "op10_mixing": OP10_SQL}
