@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,9 @@ class LanguageModel:
         admits |= ~admits.any(1, keepdims=True)
         return cls(languages, np.log((counts + smooth) / total).astype(np.float32), admits)
 
+    def parts(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        return self.languages, self.table, self.admits
+
     def score(self, words: list[str]) -> np.ndarray:
         """words x languages: log-likelihood above the word's mean; languages that its script excludes get a low score."""
         slots, starts = _grams(words)
@@ -147,64 +151,100 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     return LanguageModel.fit([tuple(r) for r in rows])
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """Per row: id, ``lang_pred``, ``score`` (share of letters in that language's spans, 0 to 1), spans and their number.
+class _Labeller:
+    """Labels texts with one model; keeps the scores of words it has seen, up to a bound."""
 
-    ``lang_spans`` lists ``language:first word:last word`` of every span of one language. A text that is null, empty or
-    without letters is ``und`` with score 0; ties go to the language that sorts first; repeated rows each return a row.
-    One pass without shuffle; the model has a fixed size and is broadcast.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    def __init__(self, model: LanguageModel, penalty: float):
+        self.model, self.penalty = model, penalty
+        self.places: dict[str, int] = {}
+        self.scores = np.zeros((0, max(1, len(model.languages))), np.float32)
 
-    def label(texts: list[str], cache: dict[str, int], known: list[np.ndarray]) -> tuple[list, list, list, list]:
-        model = shared.value
+    def _ids(self, words: list[str]) -> np.ndarray:
+        places = self.places
+        ids = np.fromiter((places.get(w, -1) for w in words), np.int64, len(words))
+        if len(missing := np.flatnonzero(ids < 0)):
+            new = list(dict.fromkeys(words[i] for i in missing))
+            self.scores = np.concatenate([self.scores, self.model.score([w.lower() for w in new])])
+            places.update(zip(new, range(len(places), len(places) + len(new))))
+            ids[missing] = [places[words[i]] for i in missing]
+        return ids
+
+    def label(self, texts: list[str]) -> tuple[list[str], list[float], list[int], list[str]]:
+        """Predicted language, its share of letters, number of spans and spans of every text."""
+        if len(self.places) > CACHE_WORDS:
+            self.places.clear()
+            self.scores = self.scores[:0]
         found = [LETTERS.findall(t) for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         words = [w for ws in found for w in ws]
-        if not words or not model.languages:
+        languages = self.model.languages
+        if not words or not languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [""] * len(texts)
-        ids = np.fromiter((cache.get(w, -1) for w in words), np.int64, len(words))
-        if len(missing := np.flatnonzero(ids < 0)):
-            new = list(dict.fromkeys(words[i] for i in missing))
-            known[0] = np.concatenate([known[0], model.score([w.lower() for w in new])])
-            base = len(cache)
-            cache.update(zip(new, range(base, base + len(new))))
-            ids[missing] = [cache[words[i]] for i in missing]
-        path = viterbi(known[0][ids], sizes, penalty)
+        ids = self._ids(words)
+        path = viterbi(self.scores[ids], sizes, self.penalty)
         letters = np.fromiter(map(len, words), np.int64, len(words))
         doc = np.repeat(np.arange(len(texts)), sizes)
-        n_lang = len(model.languages)
-        share = np.bincount(doc * n_lang + path, letters, len(texts) * n_lang).reshape(-1, n_lang)
+        share = np.bincount(doc * len(languages) + path, letters, len(texts) * len(languages)).reshape(-1, len(languages))
         best, total = share.argmax(1), share.sum(1)
-        new_span = np.ones(len(path), bool)
-        new_span[1:] = (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])
-        at = np.flatnonzero(new_span)
+        opens = np.ones(len(path), bool)
+        opens[1:] = (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])
+        at = np.flatnonzero(opens)
         last = np.append(at[1:], len(path)) - 1
         first_word = np.cumsum(sizes) - sizes
         spans: list[list[str]] = [[] for _ in texts]
         for d, k, a, b in zip(doc[at].tolist(), path[at].tolist(), (at - first_word[doc[at]]).tolist(), (last - first_word[doc[at]]).tolist()):
-            spans[d].append(f"{model.languages[k]}:{a}:{b}")
-        names = [model.languages[b] if t else UNKNOWN for b, t in zip(best, total)]
-        return names, [float(share[i, best[i]] / total[i]) if total[i] else 0.0 for i in range(len(texts))], [len(s) for s in spans], [",".join(s) for s in spans]
+            spans[d].append(f"{languages[k]}:{a}:{b}")
+        names = [languages[b] if t else UNKNOWN for b, t in zip(best, total)]
+        shares = (share[np.arange(len(texts)), best] / np.maximum(total, 1)).tolist()
+        return names, shares, [len(x) for x in spans], [",".join(x) for x in spans]
+
+    def batches(self, texts: list[str]) -> Iterator[tuple[int, int, tuple]]:
+        """Labels of stretches of about ``BATCH_CHARS``, which bounds memory however long the texts are."""
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // BATCH_CHARS)) + 1
+        edges = [0, *cuts.tolist(), len(texts)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield a, b, self.label(texts[a:b])
+
+
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """Per row: id, ``lang_pred``, ``score`` (share of letters in that language's spans, 0 to 1), spans and their number.
+
+    ``lang_spans`` lists ``language:first word:last word`` of every span of one language. A text that is null, empty or
+    without letters is ``und`` with score 0; ties go to the language that sorts first; repeated rows each return a row.
+    One pass without shuffle; the model has a fixed size and is broadcast.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
-        known = [np.zeros((0, max(1, len(shared.value.languages))), np.float32)]
+        labeller = _Labeller(LanguageModel(*shared.value), penalty)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // BATCH_CHARS)) + 1
-            edges = [0, *cuts.tolist(), len(texts)]
-            for a, b in zip(edges, edges[1:]):
-                if b > a:
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
-                        known[0] = known[0][:0]
-                    names, scores, n, spans = label(texts[a:b], cache, known)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(n, pa.int32()), pa.array(spans, pa.string())],
-                        ["id", "lang_pred", "score", "n_spans", "lang_spans"],
-                    )
+            for a, b, (names, scores, n, spans) in labeller.batches(batch.column(1).to_pylist()):
+                columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(n, pa.int32()), pa.array(spans, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["id", "lang_pred", "score", "n_spans", "lang_spans"])
 
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInArrow(run, f"id {id_type}, lang_pred string, score double, n_spans int, lang_spans string").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text", lang_col: str = "lang", penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of ``docs`` with a language that has at least the share ``least`` of the letters; columns unchanged.
+
+    Texts that are null, empty or without letters go. A null label becomes the language found. One pass, no shuffle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    at, lang = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = _Labeller(LanguageModel(*shared.value), penalty)
+        for batch in batches:
+            texts = batch.column(at).fill_null("").to_pylist()
+            for a, b, (names, scores, _, _) in labeller.batches(texts):
+                part = batch.slice(a, b - a)
+                if lang is not None and part.column(lang).null_count:
+                    filled = pa.compute.coalesce(part.column(lang), pa.array(names, part.column(lang).type))
+                    part = pa.RecordBatch.from_arrays([filled if k == lang else c for k, c in enumerate(part.columns)], schema=part.schema)
+                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -58,7 +58,8 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("long"))
 
 
-def mix(docs: DataFrame, **kw) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
     """The mixed rows themselves, with the columns of ``docs``: each row as often as :func:`with_copies` says."""
-    out = with_copies(docs, **kw).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), *[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, source_col))])
+    copies = with_copies(whole, id_col, text_col, source_col, seed)
+    return copies.select("mix_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("mix_row.*")

@@ -182,18 +182,21 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Two passes over the texts: one counts candidates for the false-discovery control, one replaces. A column ``n_chars``
     follows the new text.
     """
-    scanned = scan(docs, text_col)
-    found = spans(discovery_thresholds(scanned))
-    text = F.col(text_col)
+    texts = docs.select(F.col(text_col).alias("text"))
+    limits = discovery_thresholds(scan(texts))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    text = F.col("text")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    whole = F.aggregate(F.col("secret_spans"), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = scanned.withColumn("secret_spans", found).withColumn(text_col, F.when(F.size("secret_spans") > 0, whole).otherwise(text))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("secret_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    redacted = F.aggregate(F.col("spans"), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    marked = scan(whole).withColumn("spans", spans(limits)).withColumn("clean", F.when(F.size("spans") > 0, redacted).otherwise(text))
+    columns = []
+    for field in docs.schema:
+        old = F.col("row")[field.name]
+        new = F.col("clean") if field.name == text_col else F.length("clean").cast(field.dataType) if field.name == "n_chars" else None
+        columns.append((F.when(F.size("spans") > 0, new).otherwise(old) if new is not None else old).alias(field.name))
+    return marked.select(*columns)
