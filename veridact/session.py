@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -24,3 +25,19 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(target)
         setattr(context, mark, True)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; a temporary one where the session names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="veridact-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which ends its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/veridact-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
