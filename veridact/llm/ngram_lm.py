@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridact.llm import blocks as B
-from veridact.llm.common import ASCII_LOWER, WORD, materialize
+from veridact.llm.common import ASCII_LOWER, WORD, blocks_for, materialize
 
 _WORDS = re.compile(WORD.encode())
 #: Contexts are grouped by how often they occur: never, once, 2 to 3, 4 to 7, ...
@@ -21,6 +21,8 @@ N_BUCKETS = 41
 STEPS, MAX_STEP = 2, 126
 EM_ROUNDS = 60
 UNI, BI = 0, 1
+#: Text per block, which bounds a worker's memory, and text whose n-grams a bucket counts.
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 
 
 @dataclass
@@ -168,7 +170,7 @@ def _step(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, 1 + np.minimum(MAX_STEP - 1, np.round(-STEPS * np.log2(np.maximum(p, 1e-30)))), 0).astype(np.int64)
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows where ``training`` holds.
 
     The model mixes maximum-likelihood estimates of a token given the one before, of the token alone, and a uniform one, with
@@ -182,7 +184,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     id_type = rows.schema["id"].dataType.simpleString()
     blocks, name, n_blocks = B.pack(rows, "text", block_bytes)
-    answers = materialize(count_ngrams(blocks, n_blocks), "counts")
+    answers = materialize(count_ngrams(blocks, blocks_for(n_blocks * block_bytes, BUCKET_BYTES)), "counts")
     size = answers.filter("block IS NULL").agg(F.sum("n_distinct"), F.sum("n_tokens")).first()
     distinct, tokens = size[0] or 0, size[1] or 0
     starts = rows.filter("training").count()  # every training text has one start
