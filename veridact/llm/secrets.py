@@ -14,14 +14,15 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Stretches that the battery tests: 20 characters or more of an encoding's alphabet.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: Inferred encoding: pattern of the whole stretch, alphabet in digit order, and the chance that two symbols of an
-#: ordinary, non-random stretch of that look agree.
+#: Inferred encoding: pattern of the whole stretch, alphabet in digit order, and how often, in an ordinary stretch of that
+#: look (words, names, numbers), a symbol is of another class (lower case, upper case, digit, sign) than the one before.
 ENCODINGS = {
-    "hex": (r"^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef", 0.115),
-    "base32": (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.075),
-    "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.075),
-    "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06),
+    "hex": (r"^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef", 0.25),
+    "base32": (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.15),
+    "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.15),
+    "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.3),
 }
+_CLASSED = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
 #: Lower ends of the length classes within which false discoveries are controlled.
 LENGTH_CLASSES = (20, 24, 32, 48, 64, 128)
 BINS_PER_DECADE, MAX_BIN = 10, 400
@@ -74,7 +75,18 @@ def _battery(x: Column) -> Column:
     n = F.length(x["text"]).cast("double")
     same = F.aggregate(symbols, F.lit(0), lambda a, c: a + F.length(plain) - F.length(F.replace(plain, c, F.lit(""))))
     k = F.length(alphabet).cast("double")
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), encoding.alias("encoding"), digits.alias("digits"), n.alias("n"), same.cast("double").alias("same"), k.alias("k"))
+    classes = F.array_remove(F.split(F.translate(x["text"], *_CLASSED), ""), "")
+    turns = F.aggregate(_differ(classes), F.lit(0), lambda a, v: a + v).cast("double")
+    return F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), encoding.alias("encoding"), digits.alias("digits"), n.alias("n"),
+        same.cast("double").alias("same"), k.alias("k"), turns.alias("turns"),
+    )
+
+
+def _differ(values: Column) -> Column:
+    """For each pair of neighbours, 1 if they differ, else 0."""
+    last = F.size(values) - 1
+    return F.zip_with(F.slice(values, F.lit(1), last), F.slice(values, F.lit(2), last), lambda a, b: (a != b).cast("int"))
 
 
 def _judged(x: Column) -> Column:
@@ -86,8 +98,7 @@ def _judged(x: Column) -> Column:
     # runs of symbols in the upper and lower half of the alphabet
     halves = F.transform(digits, lambda v: (v * 2 >= k).cast("int"))
     n1 = F.aggregate(halves, F.lit(0), lambda a, v: a + v).cast("double")
-    turns = F.zip_with(F.slice(halves, F.lit(1), F.size(halves) - 1), F.slice(halves, F.lit(2), F.size(halves) - 1), lambda a, b: (a != b).cast("int"))
-    runs = 1 + F.aggregate(turns, F.lit(0), lambda a, v: a + v).cast("double")
+    runs = 1 + F.aggregate(_differ(halves), F.lit(0), lambda a, v: a + v).cast("double")
     mean = 1 + 2 * n1 * (n - n1) / n
     z_runs = F.when((n1 == 0) | (n1 == n), F.lit(10.0)).otherwise((runs - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))))
     # serial correlation of neighbours
@@ -97,11 +108,9 @@ def _judged(x: Column) -> Column:
     z_serial = F.when(spread == 0, F.lit(10.0)).otherwise(F.aggregate(lagged, F.lit(0.0), lambda a, v: a + v) / spread * F.sqrt(n))
     upper = F.greatest(z_chi, F.lit(0.0))
     random = upper * upper + z_runs * z_runs + z_serial * z_serial <= BATTERY_LIMIT
-    # p-value under "ordinary text of this look": pairs of symbols agree more often than in random text
-    natural = F.coalesce(*[F.when(x["encoding"] == name, F.lit(c)) for name, (_, _, c) in ENCODINGS.items()])
-    agree = (same - n) / (n * (n - 1))
-    deviation = F.sqrt(2 * natural * (1 - natural) / (n * (n - 1)) + 4 * (1.2 * F.pow(natural, F.lit(1.5)) - natural * natural) / n)
-    p = _tail((agree - natural) / deviation)
+    # p-value of so many changes of class in an ordinary stretch: the longer the stretch, the further random ones stand out
+    change = F.coalesce(*[F.when(x["encoding"] == name, F.lit(c)) for name, (_, _, c) in ENCODINGS.items()])
+    p = _tail(-(x["turns"] - 0.5 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)))
     length_class = F.coalesce(*[F.when(n >= c, F.lit(c)) for c in reversed(LENGTH_CLASSES)])
     return F.struct(
         x["start"].alias("start"), x["end"].alias("end"),
