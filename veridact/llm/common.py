@@ -32,10 +32,13 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/veridact-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``files``: write with so many tasks at most, where partitions are small and would make many files.
+    """
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,3 +55,8 @@ def total_bytes(df: DataFrame, column: str) -> int:
 def blocks_for(n_bytes: int, block_bytes: int) -> int:
     """How many blocks of about ``block_bytes`` hold ``n_bytes``; it grows with the input."""
     return max(1, -(-int(n_bytes) // block_bytes))
+
+
+def files_for(n_bytes: int) -> int:
+    """Files of some ten MB for what operators keep about ``n_bytes`` of text; it grows with the input."""
+    return max(12, blocks_for(n_bytes, 64 << 20))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridact.llm import blocks as B
-from veridact.llm.common import ASCII_LOWER, WORD, blocks_for, materialize
+from veridact.llm.common import ASCII_LOWER, WORD, blocks_for, files_for, materialize
 
 _WORDS = re.compile(WORD.encode())
 #: Contexts are grouped by how often they occur: never, once, 2 to 3, 4 to 7, ...
@@ -21,8 +21,8 @@ N_BUCKETS = 41
 STEPS, MAX_STEP = 2, 126
 EM_ROUNDS = 60
 UNI, BI = 0, 1
-#: Text per block, which bounds a worker's memory, and text whose n-grams a bucket counts.
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
+#: Text whose n-grams a bucket counts.
+BUCKET_BYTES = 6 << 20
 
 
 @dataclass
@@ -86,49 +86,49 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """Answers (block, kind, bucket, totals): training counts of each block's distinct words and pairs, in key order.
+    """Answers (place, kind, bucket, totals): training counts of each piece's distinct words and pairs, in key order.
 
-    A block sends each distinct key once, with its training count in the block, packed by bucket of the key's hash; a
-    bucket adds the counts up and answers every block. A frequent key costs a bucket one entry per block. Rows without
-    block hold the bucket's distinct training words and their total.
+    A piece sends each distinct key once, with its training count in the piece, packed by bucket of the key's hash; a
+    bucket adds the counts up and answers every piece. A frequent key costs a bucket one entry per piece. Rows without
+    place hold the bucket's distinct training words and their total.
     """
 
-    def request(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def request(place: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         words, sizes = _hashed(rows["text"].to_pylist())
         training = np.repeat(rows["training"].to_numpy(zero_copy_only=False), sizes)
         for kind, keys in ((UNI, words), (BI, _pairs(words, sizes))):
-            distinct, place = _distinct(keys)
-            counts = np.bincount(place[training], minlength=len(distinct))
+            distinct, at_key = _distinct(keys)
+            counts = np.bincount(at_key[training], minlength=len(distinct))
             buckets, at = B.cuts(distinct, n_buckets)
             n = len(buckets)
             packed = [distinct[a:b].tobytes() for a, b in zip(at, at[1:])]
             added = [B.planes(counts[a:b]) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind, np.int32)), pa.array(buckets), pa.array(np.full(n, block, np.int64)), pa.array(packed, pa.binary()), pa.array(added, pa.binary())],
-                ["kind", "bucket", "block", "keys", "counts"],
+                [pa.array(np.full(n, kind, np.int32)), pa.array(buckets), pa.array(np.full(n, place, np.int64)), pa.array(packed, pa.binary()), pa.array(added, pa.binary())],
+                ["kind", "bucket", "place", "keys", "counts"],
             )
 
     def total(rows: pa.Table) -> pa.Table:
         kind, bucket = rows["kind"][0].as_py(), rows["bucket"][0].as_py()
         parts = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
         counts = np.concatenate([B.from_planes(c) for c in rows["counts"].to_pylist()]).astype(np.int64)
-        distinct, place = _distinct(np.concatenate(parts))
-        totals = np.bincount(place, counts, len(distinct)).astype(np.int64)
-        answers = np.split(totals[place], np.cumsum([len(p) for p in parts])[:-1])
+        distinct, at_key = _distinct(np.concatenate(parts))
+        totals = np.bincount(at_key, counts, len(distinct)).astype(np.int64)
+        answers = np.split(totals[at_key], np.cumsum([len(p) for p in parts])[:-1])
         n = len(parts)
         words = kind == UNI
         return pa.table({
-            "block": pa.array([*rows["block"].to_pylist(), None], pa.int64()), "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
+            "place": pa.array([*rows["place"].to_pylist(), None], pa.int64()), "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
             "totals": pa.array([*map(B.planes, answers), None], pa.binary()),
             "n_distinct": pa.array([None] * n + [int((totals > 0).sum()) if words else 0], pa.int64()), "n_tokens": pa.array([None] * n + [int(totals.sum()) if words else 0], pa.int64()),
         })
 
-    asked = B.ask(blocks, request, "kind int, bucket int, block long, keys binary, counts binary")
-    return asked.groupBy("kind", "bucket").applyInArrow(total, "block long, kind int, bucket int, totals binary, n_distinct long, n_tokens long")
+    asked = B.ask(blocks, request, "kind int, bucket int, place long, keys binary, counts binary")
+    return asked.groupBy("kind", "bucket").applyInArrow(total, "place long, kind int, bucket int, totals binary, n_distinct long, n_tokens long")
 
 
 def _counts(rows: pa.Table, answers: pa.Table, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token in a block: the training counts of its pair, its context and itself; and the texts' sizes."""
+    """Of every token in a piece: the training counts of its pair, its context and itself; and the texts' sizes."""
     words, sizes = _hashed(rows["text"].to_pylist())
     kinds, buckets, totals = (answers[c].to_pylist() for c in ("kind", "bucket", "totals"))
     out = []
@@ -170,7 +170,7 @@ def _step(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, 1 + np.minimum(MAX_STEP - 1, np.round(-STEPS * np.log2(np.maximum(p, 1e-30)))), 0).astype(np.int64)
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = B.PIECE_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows where ``training`` holds.
 
     The model mixes maximum-likelihood estimates of a token given the one before, of the token alone, and a uniform one, with
@@ -183,14 +183,14 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     id_type = rows.schema["id"].dataType.simpleString()
-    blocks, name, n_blocks = B.pack(rows, "text", block_bytes)
-    answers = materialize(count_ngrams(blocks, blocks_for(n_blocks * block_bytes, BUCKET_BYTES)), "counts")
-    size = answers.filter("block IS NULL").agg(F.sum("n_distinct"), F.sum("n_tokens")).first()
+    blocks, name, total = B.pack(rows, "text", piece_bytes)
+    answers = materialize(count_ngrams(blocks, blocks_for(total, BUCKET_BYTES)), "counts", files_for(total))
+    size = answers.filter("place IS NULL").agg(F.sum("n_distinct"), F.sum("n_tokens")).first()
     distinct, tokens = size[0] or 0, size[1] or 0
     starts = rows.filter("training").count()  # every training text has one start
-    given = answers.filter("block IS NOT NULL").select("block", "kind", "bucket", "totals")
+    given = answers.filter("place IS NOT NULL").select("place", "kind", "bucket", "totals")
 
-    def events(block: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def events(place: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
         pair, context, word, sizes = _counts(rows, answers, starts)
         own = np.repeat(rows["training"].to_numpy(zero_copy_only=False), sizes)
         pair, context, word = pair[own] - 1, context[own] - 1, word[own] - 1
@@ -202,7 +202,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     mix = learn_weights([(r["code"] >> 14, r["code"] >> 7 & 127, r["code"] & 127, r["n"]) for r in seen], tokens, distinct)
     weights = spark.sparkContext.broadcast(Weights(tokens, distinct, starts, mix))
 
-    def judge(block: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def judge(place: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
         pair, context, word, sizes = _counts(rows, answers, starts)
         at = np.cumsum(sizes) - sizes
         w = weights.value
