@@ -1,6 +1,15 @@
 """Queries over the supplied tables, one module for each family of operators."""
 
-from veridact.plans import aggregate_queries, find_queries, graph_queries, join_queries, lifecycle_queries, ranking_queries  # noqa: F401
+from veridact.plans import (  # noqa: F401
+    aggregate_queries,
+    domain_queries,
+    find_queries,
+    graph_queries,
+    join_queries,
+    lifecycle_queries,
+    ranking_queries,
+    source_queries,
+)
 from veridact.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

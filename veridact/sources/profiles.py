@@ -26,7 +26,7 @@ def perf_script(lines: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.col("value").rlike(r"^\S")
-    numbered = lines.withColumns({"sample": F.sum(head.cast("int")).over(w), "event": F.last(F.when(head, F.regexp_extract("value", r"([\w-]+):[\w]*\s*$", 1)), ignorenulls=True).over(w)})
+    numbered = lines.withColumns({"sample": F.sum(head.cast("int")).over(w), "event": F.last(F.when(head, F.regexp_extract("value", r"\s([\w.-]+)(?::\w+)?:\s*$", 1)), ignorenulls=True).over(w)})
     frame = r"^\s+[0-9a-f]+ (.+?)(?:\+0x[0-9a-f]+)? \(([^()]*)\)\s*$"
     frames = numbered.filter(~head).select("file", "sample", "event", F.regexp_extract("value", frame, 1).alias("symbol"), F.regexp_extract("value", frame, 2).alias("module")).filter("symbol <> ''")
     return frames.distinct().groupBy("symbol", "event", "module").agg(F.count("*").alias("count"))
