@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridact.llm import blocks as B
-from veridact.llm.common import materialize
+from veridact.llm.common import blocks_for, files_for, materialize
 
 WINDOW, ANCHOR = 100, 24
 CHUNK = 1 << 20
 #: Text that is put in one Burrows-Wheeler transform, but for the anchor that reaches beyond it.
-EXPAND_BYTES = 2 << 20
+EXPAND_BYTES = 256 << 10
 #: Anchors with more different runs are settled window by window, by hashes dealt over all tasks.
 HOT_RUNS = 4096
-BLOCK_BYTES = 4 << 20
+#: Text per piece, which bounds a worker's memory, and text whose anchors a bucket holds.
+PIECE_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 RANGES, RUNS, WINDOWS = 0, 1, 2
 
 _BASE = 0x9E3779B97F4A7C15
@@ -192,31 +193,31 @@ def _pack(**arrays) -> bytes:
     return pickle.dumps(arrays, 5)
 
 
-def _joined(blobs: list[bytes], blocks: list[int]) -> dict[str, np.ndarray]:
+def _joined(blobs: list[bytes], places: list[int]) -> dict[str, np.ndarray]:
     parts = [pickle.loads(b) for b in blobs]
     out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0] if k != "bytes"}
-    out["block"] = np.repeat(np.array(blocks, np.int64), [len(p["row"]) for p in parts])
+    out["place"] = np.repeat(np.array(places, np.int64), [len(p["row"]) for p in parts])
     return out
 
 
-def _by_block(found: dict[str, np.ndarray], kind: int) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(found["block"], kind="stable")
-    blocks = found["block"][order]
-    edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else []
+def _by_place(found: dict[str, np.ndarray], kind: int) -> Iterator[tuple[int, int, bytes]]:
+    order = np.argsort(found["place"], kind="stable")
+    places = found["place"][order]
+    edges = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else []
     for part in np.split(order, edges[1:]) if len(edges) else []:
-        yield int(found["block"][part[0]]), kind, _pack(**{k: v[part] for k, v in found.items() if k != "block"})
+        yield int(found["place"][part[0]]), kind, _pack(**{k: v[part] for k, v in found.items() if k != "place"})
 
 
 def _answer_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({
-        "block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary()),
+        "place": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary()),
     })
 
 
 def _resolve(rows: pa.Table, hot_runs: int) -> list[tuple[int, int, bytes]]:
     """Of a bucket's runs: those that an equal run precedes, and the first of each, where its anchor has others."""
-    runs = _joined(rows["blob"].to_pylist(), rows["block"].to_pylist())
-    order = np.lexsort((runs["pos"], runs["row"], runs["block"], runs["id"], runs["whole"], runs["anchor"]))
+    runs = _joined(rows["blob"].to_pylist(), rows["place"].to_pylist())
+    order = np.lexsort((runs["pos"], runs["row"], runs["place"], runs["id"], runs["whole"], runs["anchor"]))
     runs = {k: v[order] for k, v in runs.items()}
     n = len(order)
     new_anchor = np.ones(n, bool)
@@ -226,28 +227,28 @@ def _resolve(rows: pa.Table, hot_runs: int) -> list[tuple[int, int, bytes]]:
     anchor_no = np.cumsum(new_anchor) - 1
     different = np.bincount(anchor_no[holder], minlength=anchor_no[-1] + 1)[anchor_no]
     mixed = holder & (different > 1)
-    later = {k: runs[k][~holder] for k in ("block", "row", "pos", "count")}
-    need = {k: runs[k][mixed] for k in ("block", "row", "pos", "count", "anchor", "id")} | {"hot": different[mixed] > hot_runs}
-    return [*_by_block(later, RANGES), *_by_block(need, RUNS)]
+    later = {k: runs[k][~holder] for k in ("place", "row", "pos", "count")}
+    need = {k: runs[k][mixed] for k in ("place", "row", "pos", "count", "anchor", "id")} | {"hot": different[mixed] > hot_runs}
+    return [*_by_place(later, RANGES), *_by_place(need, RUNS)]
 
 
 def _expand(rows: pa.Table, window: int) -> list[tuple[int, int, bytes]]:
     """Of different runs around common anchors: the windows that precede in another, by the transform."""
-    blobs, blocks = rows["blob"].to_pylist(), rows["block"].to_pylist()
-    runs = _joined(blobs, blocks)
+    blobs, places = rows["blob"].to_pylist(), rows["place"].to_pylist()
+    runs = _joined(blobs, places)
     text = b"".join(pickle.loads(b)["bytes"] for b in blobs)
     sizes = runs["count"].astype(np.int64) + window - 1
     starts = np.cumsum(sizes) - sizes
-    order = np.lexsort((runs["pos"], runs["row"], runs["block"], runs["id"], runs["anchor"]))
+    order = np.lexsort((runs["pos"], runs["row"], runs["place"], runs["id"], runs["anchor"]))
     anchors = runs["anchor"][order]
     reach = np.cumsum(sizes[order])
-    edges, out = [0], {k: [] for k in ("block", "row", "pos", "count")}
+    edges, out = [0], {k: [] for k in ("place", "row", "pos", "count")}
     while edges[-1] < len(order):
         done = reach[edges[-1] - 1] if edges[-1] else 0
         k = min(len(order) - 1, int(np.searchsorted(reach, done + EXPAND_BYTES)))
         edges.append(int(np.searchsorted(anchors, anchors[k], "right")))  # anchors stay whole
     for a, b in zip(edges, edges[1:]):
-        part = order[a:b][np.lexsort(tuple(runs[k][order[a:b]] for k in ("pos", "row", "block", "id")))]
+        part = order[a:b][np.lexsort(tuple(runs[k][order[a:b]] for k in ("pos", "row", "place", "id")))]
         counts = runs["count"][part].astype(np.int64)
         dup = repeated_windows([text[s : s + z] for s, z in zip(starts[part].tolist(), sizes[part].tolist())], counts, window)
         run = np.repeat(np.arange(len(part)), counts)
@@ -256,13 +257,13 @@ def _expand(rows: pa.Table, window: int) -> list[tuple[int, int, bytes]]:
         begin[1:] &= ~dup[:-1] | (run[1:] != run[:-1])
         at = np.flatnonzero(begin)
         if len(at):
-            out["block"].append(runs["block"][part][run[at]])
+            out["place"].append(runs["place"][part][run[at]])
             out["row"].append(runs["row"][part][run[at]])
             out["pos"].append(runs["pos"][part][run[at]] + offset[at].astype(np.int32))
             out["count"].append(np.add.reduceat(dup.astype(np.uint8), at, dtype=np.int64).astype(np.uint8))
-    if not out["block"]:
+    if not out["place"]:
         return []
-    return list(_by_block({k: np.concatenate(v) for k, v in out.items()}, RANGES))
+    return list(_by_place({k: np.concatenate(v) for k, v in out.items()}, RANGES))
 
 
 def _buffer(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +275,7 @@ def _buffer(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR,
-    block_bytes: int = BLOCK_BYTES, hot_runs: int = HOT_RUNS, with_text: bool = False,
+    piece_bytes: int = PIECE_BYTES, hot_runs: int = HOT_RUNS, with_text: bool = False,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
 
@@ -285,25 +286,26 @@ def remove_repeats(
 
     Texts move once, into blocks; what is shuffled is two hashes and a place per run of windows, some 22 bytes for 40
     bytes of text, and the bytes of runs that share an anchor but differ. No group grows with the data: equal runs of a
-    block are folded before the shuffle, and anchors with more than ``hot_runs`` different runs are settled by hashes of
+    piece are folded before the shuffle, and anchors with more than ``hot_runs`` different runs are settled by hashes of
     single windows, dealt over all tasks.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table, name, n_buckets = B.pack(rows, "text", block_bytes)
-    asked_schema, answer_schema = "kind int, bucket int, block long, blob binary", "block long, kind int, blob binary"
+    table, name, total = B.pack(rows, "text", piece_bytes)
+    n_buckets = blocks_for(total, BUCKET_BYTES)
+    asked_schema, answer_schema = "kind int, bucket int, place long, blob binary", "place long, kind int, blob binary"
 
-    def packed(block: int, kind: int, runs: dict[str, np.ndarray], key: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    def packed(place: int, kind: int, runs: dict[str, np.ndarray], key: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
         order = np.argsort(key, kind="stable")
         buckets, at = B.cuts(key[order], n_buckets)
         for bucket, a, b in zip(buckets.tolist(), at, at[1:]):
-            yield kind, bucket, block, _pack(**{k: v[order[a:b]] for k, v in runs.items()})
+            yield kind, bucket, place, _pack(**{k: v[order[a:b]] for k, v in runs.items()})
 
     def batch_of(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["kind", "bucket", "block", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["kind", "bucket", "place", "blob"])
 
-    def request(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def request(place: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, data, starts, sizes = _buffer(rows)
         runs = find_runs(data, starts, sizes, window, anchor)
         runs["id"] = ids[runs["row"]]
@@ -312,27 +314,27 @@ def remove_repeats(
         _, first = np.unique(_mixed(runs["anchor"]) + runs["whole"], return_index=True)
         later = np.ones(len(order), bool)
         later[first] = False
-        if later.any():  # an equal run in this block comes first
-            yield batch_of([(RANGES, int(block % n_buckets), block, _pack(**{k: runs[k][later] for k in ("row", "pos", "count")}))])
+        if later.any():  # an equal run in this piece comes first
+            yield batch_of([(RANGES, int(place % n_buckets), place, _pack(**{k: runs[k][later] for k in ("row", "pos", "count")}))])
         first = np.sort(first)
         if len(first):
-            yield batch_of(list(packed(block, RUNS, {k: v[first] for k, v in runs.items()}, runs["anchor"][first])))
+            yield batch_of(list(packed(place, RUNS, {k: v[first] for k, v in runs.items()}, runs["anchor"][first])))
 
     def settle(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_pylist()
         if kinds[0] == RANGES:
-            return _answer_table(list(zip(rows["block"].to_pylist(), kinds, rows["blob"].to_pylist())))
+            return _answer_table(list(zip(rows["place"].to_pylist(), kinds, rows["blob"].to_pylist())))
         return _answer_table(_resolve(rows, hot_runs))
 
     answers = B.ask(table, request, asked_schema).groupBy("kind", "bucket").applyInArrow(settle, answer_schema)
-    answers = materialize(answers, "runs")
+    answers = materialize(answers, "runs", files_for(total))
 
-    def fetch(block: int, rows: pa.Table, need: pa.Table) -> pa.Table:
+    def fetch(place: int, rows: pa.Table, need: pa.Table) -> pa.Table:
         if not need.num_rows:
             return pa.Table.from_batches([batch_of([])])
         ids, data, starts, sizes = _buffer(rows)
-        runs = _joined(need["blob"].to_pylist(), [block] * need.num_rows)
-        del runs["block"]
+        runs = _joined(need["blob"].to_pylist(), [place] * need.num_rows)
+        del runs["place"]
         hot = runs.pop("hot")
         cold = {k: v[~hot] for k, v in runs.items()}
         out = []
@@ -343,15 +345,14 @@ def remove_repeats(
         end = begin + cold["count"] + window - 1
         for bucket, a, b in zip(buckets.tolist(), at, at[1:]):
             text = b"".join(data[s:e].tobytes() for s, e in zip(begin[a:b].tolist(), end[a:b].tolist()))
-            out.append((RUNS, bucket, block, _pack(**{k: v[a:b] for k, v in cold.items()}, bytes=text)))
+            out.append((RUNS, bucket, place, _pack(**{k: v[a:b] for k, v in cold.items()}, bytes=text)))
         if hot.any():
             count = runs["count"][hot].astype(np.int64)
             pos = np.repeat(runs["pos"][hot], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
             row = np.repeat(runs["row"][hot], count)
-            place = starts[row] + pos
-            own = _window_hashes(data, place, window)
+            own = _window_hashes(data, starts[row] + pos, window)
             windows = {"row": row, "pos": pos, "count": np.ones(len(pos), np.uint8), "anchor": own, "whole": own, "id": ids[row]}
-            out += packed(block, WINDOWS, windows, own)
+            out += packed(place, WINDOWS, windows, own)
         return pa.Table.from_batches([batch_of(out)])
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -361,13 +362,13 @@ def remove_repeats(
 
     need = answers.filter(F.col("kind") == RUNS)
     compared = B.join_answers(table, need, fetch, asked_schema).groupBy("kind", "bucket").applyInArrow(compare, answer_schema)
-    compared = materialize(compared, "compared")
+    compared = materialize(compared, "compared", files_for(total))
 
-    def cut(block: int, rows: pa.Table, found: pa.Table) -> pa.Table:
+    def cut(place: int, rows: pa.Table, found: pa.Table) -> pa.Table:
         ids, data, starts, sizes = _buffer(rows)
         depth = np.zeros(len(data) + 1, np.int32)
         if found.num_rows:
-            ranges = _joined(found["blob"].to_pylist(), [block] * found.num_rows)
+            ranges = _joined(found["blob"].to_pylist(), [place] * found.num_rows)
             begin = starts[ranges["row"]] + ranges["pos"]
             np.add.at(depth, begin, 1)
             np.add.at(depth, begin + ranges["count"].astype(np.int64) + window - 1, -1)
