@@ -181,3 +181,27 @@ def test_points_interval(spark):
     bands = [(0, "low"), (5, "high")]
     r = spark.range(1).select(L.points_interval(F.lit(5), F.lit(0), F.lit(3), bands).alias("a"), L.points_interval(F.lit(3), F.lit(0), F.lit(3), bands).alias("b")).first()
     assert r["a"]["rating"] == "high" and r["b"]["rating"] is None
+
+
+def test_current_paths_follow_renames_back(spark):
+    from veridact.operators import replay
+
+    rows_ = [("r", 0, "new", "mid"), ("r", 1, "mid", "old"), ("r", 2, "old", None), ("r", 2, "other", None), ("s", 0, "old", None)]
+    df = spark.createDataFrame(rows_, "repo string, pos int, path string, was string")
+    got = {(r["repo"], r["pos"], r["path"]): r["current_path"] for r in replay.current_paths(df, "repo", "pos", "path", "was").collect()}
+    assert got == {("r", 0, "new"): "new", ("r", 1, "mid"): "new", ("r", 2, "old"): "new", ("r", 2, "other"): "other", ("s", 0, "old"): "old"}
+
+
+def test_chains_repeat_no_step(spark):
+    from veridact.operators import replay
+
+    steps = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 2.0)], "step string, severity double")
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    assert rows(replay.chains(steps, links, 3)) == [(["a", "b"], 3.1), (["a", "b", "c"], 3.2), (["b", "a"], 3.1), (["b", "c"], 3.1)]
+
+
+def test_global_rank_equals_a_sort(spark):
+    df = spark.createDataFrame([((i * 37) % 101, i) for i in range(300)], "a int, b int").repartition(5)
+    got = [(r["a"], r["b"]) for r in R.global_rank(df, [F.col("a"), F.col("b").desc()]).orderBy("rank").collect()]
+    assert got == sorted(((i * 37) % 101, i) for i in range(300)) or got == sorted((((i * 37) % 101, i) for i in range(300)), key=lambda x: (x[0], -x[1]))
+    assert R.global_rank(df.limit(0), [F.col("a")]).count() == 0

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridact.session import cut
+
 
 def midrank(df: DataFrame, value: str, name: str, population: Sequence[str] = ()) -> DataFrame:
     """Zero-anchored mid-rank percentile in each population: values of 0 or less map to 0, others to (below + equal / 2) / n.
@@ -32,38 +35,52 @@ def weighted_available(values: Mapping[str, float]) -> tuple[Column, Column, Col
     return F.when(known > 0, summed / known), known / total, missing
 
 
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the place 1..n of each row in a total order, without one task seeing all rows.
+
+    Rows are sorted by range, numbered within their range and written; the ranges' sizes, one row each, give what to add.
+    """
+    numbered = cut(df.orderBy(*order).withColumn("rank_id", F.monotonically_increasing_id()), "rank")
+    placed = numbered.withColumns({"rank_part": F.shiftright("rank_id", 33), "rank_in": F.col("rank_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("rank_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("rank_part", before.alias("rank_before"))  # a row for each range
+    joined = placed.join(F.broadcast(offsets), "rank_part")
+    return joined.withColumn(name, F.col("rank_before") + F.col("rank_in") + 1).drop("rank_id", "rank_part", "rank_in", "rank_before")
+
+
 def instability(df: DataFrame, weights: Mapping[str, float], logarithmic: Sequence[str]) -> DataFrame:
     """``df`` with score (0 to 100), weight_coverage and missing_inputs.
 
     Each metric, after log1p where named, is scaled by its least and greatest value; one that is constant scores 0. A
-    missing one leaves the mean and lowers the coverage. The bounds are one aggregate row, broadcast.
+    missing one leaves the mean and lowers the coverage. The bounds are one aggregate row, taken first.
     """
 
     def shaped(c: str) -> Column:
         return F.log1p(F.col(c).cast("double")) if c in logarithmic else F.col(c).cast("double")
 
-    bounds = df.agg(*[f(shaped(c)).alias(f"{n}_{c}") for c in weights for n, f in (("lo", F.min), ("hi", F.max))])
+    bounds = df.agg(*[f(shaped(c)).alias(f"{n}_{c}") for c in weights for n, f in (("lo", F.min), ("hi", F.max))]).first()
     scaled = {}
     for c in weights:
-        low, high = F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        low, high = F.lit(bounds[f"lo_{c}"]).cast("double"), F.lit(bounds[f"hi_{c}"]).cast("double")
         scaled[f"n_{c}"] = F.when(F.col(c).isNull(), F.lit(None)).when(high == low, F.lit(0.0)).otherwise((shaped(c) - low) / (high - low))
-    joined = df.join(F.broadcast(bounds)).withColumns(scaled)
+    joined = df.withColumns(scaled)
     mean, coverage, _ = weighted_available({f"n_{c}": w for c, w in weights.items()})
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in sorted(weights)]))
     out = joined.withColumns({"score": F.round(100 * mean, 4), "weight_coverage": F.round(coverage, 6), "missing_inputs": missing})
-    return out.drop(*[f"{n}_{c}" for c in weights for n in ("lo", "hi", "n")])
+    return out.drop(*scaled)
 
 
 def tiers(df: DataFrame, order: Sequence[Column], shares: Sequence[tuple[str, str]], rest: str) -> DataFrame:
     """``df`` with rank and tier. A tier's share of rows, as a decimal literal, is cumulative and rounded up exactly."""
-    total = df.agg(F.count("*").alias("n_all"))
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(total))
+    ranked = global_rank(df, order)
+    total = Decimal(ranked.count())
     tier, sofar = None, Decimal(0)
     for name, share in shares:
         sofar += Decimal(share)
-        bound = F.ceil(F.col("n_all").cast("decimal(20,0)") * F.lit(sofar))
+        bound = F.lit(math.ceil(total * sofar))
         tier = F.when(F.col("rank") <= bound, F.lit(name)) if tier is None else tier.when(F.col("rank") <= bound, F.lit(name))
-    return ranked.withColumn("tier", tier.otherwise(F.lit(rest))).drop("n_all")
+    return ranked.withColumn("tier", tier.otherwise(F.lit(rest)))
 
 
 def effective_cap(n: Column, share: str, floor: int, ceiling: int) -> Column:
@@ -86,11 +103,10 @@ def proportional(df: DataFrame, module: str, order: Sequence[Column], minimum: i
 
 def max_normalised(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """``df`` with score and coverage: each signal over its greatest value, then the weighted mean of those that have one."""
-    top = df.agg(*[F.max(c).alias(f"top_{c}") for c in weights])
-    joined = df.join(F.broadcast(top))
-    joined = joined.withColumns({f"n_{c}": F.when(F.col(f"top_{c}") > 0, F.col(c) / F.col(f"top_{c}")).otherwise(F.when(F.col(c).isNotNull(), F.lit(0.0))) for c in weights})
+    top = df.agg(*[F.max(c).alias(c) for c in weights]).first()
+    joined = df.withColumns({f"n_{c}": F.col(c) / F.lit(top[c]) if (top[c] or 0) > 0 else F.when(F.col(c).isNotNull(), F.lit(0.0)) for c in weights})
     mean, coverage, _ = weighted_available({f"n_{c}": w for c, w in weights.items()})
-    return joined.withColumns({"score": F.round(mean, 6), "coverage": F.round(coverage, 6)}).drop(*[f"{n}_{c}" for c in weights for n in ("top", "n")])
+    return joined.withColumns({"score": F.round(mean, 6), "coverage": F.round(coverage, 6)}).drop(*[f"n_{c}" for c in weights])
 
 
 def rolling_peak(df: DataFrame, unit: str, at: str, days: int) -> DataFrame:

@@ -7,6 +7,7 @@ from veridact.plans import (  # noqa: F401
     graph_queries,
     join_queries,
     lifecycle_queries,
+    more_queries,
     ranking_queries,
     source_queries,
 )

@@ -249,9 +249,9 @@ SELECT user_id, min(ts) AS first_at, min(ts) FILTER (event_type = 'click') AS st
 def agg29(spark, sf):
     events = table(spark, sf, "events")
     spans = events.groupBy("user_id").agg(F.min("ts").alias("first_at"), F.min(F.when(F.col("event_type") == "click", F.col("ts"))).alias("started"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
-    zero = spans.agg(F.min("first_at").alias("zero"))
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return spans.join(F.broadcast(zero)).select("user_id", "first_at", "started", "status", "n", (us("first_at") - us("zero")).alias("offset"))
+    us = F.unix_micros(F.col("first_at").cast("timestamp"))
+    zero = spans.agg(F.min(us)).first()[0]
+    return spans.select("user_id", "first_at", "started", "status", "n", (us - F.lit(zero)).alias("offset"))
 
 
 @query("agg31_matrix", """

@@ -70,9 +70,9 @@ def flt04(spark, sf):
 SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer
 QUALIFY c_acctbal >= 5000""")
 def flt05(spark, sf):
-    from pyspark.sql import Window
+    from veridact.operators.ranking import global_rank
 
-    ranked = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.row_number().over(Window.orderBy(F.col("c_acctbal").desc(), "c_custkey")).cast("long").alias("rank"))
+    ranked = global_rank(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), [F.col("c_acctbal").desc(), F.col("c_custkey")])
     return ranked.filter("c_acctbal >= 5000")
 
 
@@ -301,7 +301,7 @@ def set06(spark, sf):
 def snk01(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("identity"))
     first = E.first_wins(docs, "identity", [F.col("doc_id")])
-    return docs.agg(F.count("*").alias("n")).join(F.broadcast(first.agg(F.count("*").alias("n_texts"))))
+    return first.agg(F.lit(docs.count()).cast("long").alias("n"), F.count("*").alias("n_texts"))
 
 
 @query("snk10_verify_counts", "SELECT 'R' AS kind, count(*) AS actual, 7::BIGINT AS declared FROM lineitem WHERE l_returnflag = 'R' HAVING count(*) <> 7")

@@ -161,11 +161,11 @@ def dom42(spark, sf):
 @query("ver01_semver_order", """
 SELECT p_partkey, row_number() OVER (ORDER BY p_size % 3, p_partkey % 10, p_size, (p_partkey % 2 = 0)::INT, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 7 END, p_partkey) AS place FROM part""")
 def ver01(spark, sf):
-    from pyspark.sql import Window
+    from veridact.operators.ranking import global_rank
 
     text = F.concat(F.col("p_size") % 3, F.lit("."), F.col("p_partkey") % 10, F.lit("."), "p_size", F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("-rc."), F.col("p_partkey") % 7)).otherwise(F.lit("+build.1")))
     rows = table(spark, sf, "part").select("p_partkey", V.version_key(text).alias("v"))
-    return rows.select("p_partkey", F.row_number().over(Window.orderBy("v", "p_partkey")).cast("long").alias("place"))
+    return global_rank(rows, [F.col("v"), F.col("p_partkey")], "place").select("p_partkey", "place")
 
 
 @query("ver02_range_sweep", """

@@ -104,3 +104,56 @@ def graph_csv(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = edges.filter("label = 'CONTAINS'").select(F.col("src").alias("method_id"), F.col("dst").alias("call_id"))
     known = methods.select(F.col("method").alias("callee"), F.lit(True).alias("known")).distinct()
     return inside.join(methods, "method_id").join(calls, "call_id").join(known, "callee", "left").select(F.col("method").alias("caller"), "callee", F.coalesce("known", F.lit(False)).alias("resolved"))
+
+
+_BLOCK = re.compile(r"^\s*\[B(\d+)(?: \((ENTRY|EXIT)\))?\]")
+_SUCC = re.compile(r"^\s*Succs \(\d+\): (.*)$")
+
+
+def clang_cfg(dumps: DataFrame) -> DataFrame:
+    """(function, src, dst) of CFG dumps in ``value``: successors of numbered blocks; an unreachable one is left out."""
+
+    def parse(text: str) -> Iterator[tuple[str, str, str]]:
+        function = block = None
+        for line in text.splitlines():
+            if m := _BLOCK.match(line):
+                block = m[1]
+            elif m := _SUCC.match(line):
+                for target in re.findall(r"\bB(\d+)(\(Unreachable\))?", m[1]):
+                    if not target[1]:
+                        yield function, block, target[0]
+            elif line and not line[0].isspace() and "(" in line:
+                function = re.sub(r"\(.*", "", line).split()[-1].lstrip("*&")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([r for t in pdf["value"] if t for r in parse(t)], columns=["function", "src", "dst"])
+
+    return dumps.select("value").mapInPandas(run, "function string, src string, dst string")
+
+
+def clangd_symbols(dumps: DataFrame) -> DataFrame:
+    """(id, name, scope, kind, file, line) of symbol documents in a YAML stream in ``value``; other documents are left out."""
+    docs = dumps.select(F.explode(F.split("value", r"(?m)^--- ")).alias("d")).filter(F.col("d").startswith("!Symbol"))
+    field = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("d", rf"(?m)^\s*{k}:\s*(.*)$", 1), "^['\"]|['\"]$", "")), F.lit(""))
+    return docs.select(field("ID").alias("id"), field("Name").alias("name"), field("Scope").alias("scope"), field("Kind").alias("kind"), F.regexp_replace(field("FileURI"), "^file://", "").alias("file"), field("Line").cast("int").alias("line"))
+
+
+def dwarf_functions(dumps: DataFrame) -> DataFrame:
+    """(name, low, high) of subprograms in debug dumps in ``value``: addresses as numbers, ``high`` exclusive.
+
+    A high address written as a size is added to the low one; subprograms without addresses are declarations and are left out.
+    """
+    entries = dumps.select(F.explode(F.split("value", r"(?m)^0x[0-9a-f]+:\s+")).alias("e")).filter(F.trim("e").startswith("DW_TAG_subprogram"))
+    number = lambda c: F.conv(F.regexp_replace(c, "^0x", ""), 16, 10).cast("decimal(20,0)")
+    part = lambda k: F.nullif(F.regexp_extract("e", rf"{k}\s*\(\"?(0x[0-9a-f]+|[^\")]*)\"?\)", 1), F.lit(""))
+    low, high = number(part("DW_AT_low_pc")), number(part("DW_AT_high_pc"))
+    rows = entries.select(part("DW_AT_name").alias("name"), low.alias("low"), F.when(high < low, low + high).otherwise(high).alias("high"))
+    return rows.filter("low IS NOT NULL AND high IS NOT NULL")
+
+
+def exported_rows(documents: DataFrame) -> DataFrame:
+    """(query_id, row, truncated) of query exports in ``value``; an export with fewer declared rows than it holds is an error."""
+    d = documents.select(F.from_json("value", "query_id string, columns array<string>, rows array<array<string>>, row_count long, truncated boolean").alias("d")).select("d.*")
+    fine = F.when(F.col("row_count") >= F.size("rows"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("more rows than declared: "), "query_id")).cast("boolean"))
+    return d.filter(fine).select("query_id", F.explode("rows").alias("row"), "truncated")
