@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from veridact.llm.common import blocks_for, total_bytes
 
-BLOCK_BYTES, PIECE_BYTES = 32 << 20, 2 << 20
+BLOCK_BYTES, PIECE_BYTES = 16 << 20, 2 << 20
 #: Pieces per block, at most; a piece's place is the block's number times this plus its own.
 PIECES = 64
 
