@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
+#: Folders by application, where the session names none: tests and single machines.
+_OWN: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,11 +30,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one where the session names none."""
+    """The folder that the driver and all executors see; a temporary one of this application where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="veridact-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        name = spark.sparkContext.applicationId
+        path = _OWN[name] if name in _OWN else _OWN.setdefault(name, tempfile.mkdtemp(prefix="veridact-"))
     return path.rstrip("/")
 
 
