@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Documents of each language that the model learns from, at most; the bound on what the driver gathers.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
+#: Texts taken of a language that has none so short.
+LONG_TEXTS = 5
 SWITCH_PENALTY = 9.0
 TABLE_BITS = 17
 BATCH_CHARS = 6_000_000
@@ -139,16 +141,19 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     """Learn from rows where ``training`` holds and the language is known.
 
     A classifier may see a bounded sample: of each language, about ``per_language`` rows chosen by a hash of the id (all,
-    if fewer), of which the driver gathers at most ``SAMPLE_CHARS`` characters each.
+    if fewer), whole texts of at most ``SAMPLE_CHARS`` characters. A language that only has longer texts gives a few of those.
     """
     known = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[lang_col]: r["n"] for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    short = F.length(text_col) <= SAMPLE_CHARS
+    counts = known.groupBy(lang_col).agg(F.count_if(short).alias("short"), F.count("*").alias("n")).collect()
+    if not counts:
         return LanguageModel.fit([])
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(sizes.items())])
+    share = F.coalesce(*[
+        F.when(F.col(lang_col) == r[lang_col], F.when(short, F.lit(min(1.0, per_language / r["short"]))).otherwise(F.lit(0.0)) if r["short"] else F.lit(min(1.0, LONG_TEXTS / r["n"])))
+        for r in sorted(counts, key=lambda r: str(r[lang_col]))
+    ])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.filter(draw < share).select(F.col(lang_col), F.substring(F.col(text_col), 1, SAMPLE_CHARS)).collect()
-    return LanguageModel.fit([tuple(r) for r in rows])
+    return LanguageModel.fit([tuple(r) for r in known.filter(draw < share).select(lang_col, text_col).collect()])
 
 
 class _Labeller:
