@@ -183,10 +183,10 @@ def lim04(spark, sf):
 
 
 @query("lim05_bounded_gaps", """
-SELECT user_id, list_slice(list_sort(list(DISTINCT event_type)), 1, 2) AS gaps, greatest(count(DISTINCT event_type) - 2, 0) AS omitted FROM events GROUP BY user_id""")
+SELECT user_id, array_to_string(list_slice(list_sort(list(DISTINCT event_type)), 1, 2), ',') AS gaps, greatest(count(DISTINCT event_type) - 2, 0) AS omitted FROM events GROUP BY user_id""")
 def lim05(spark, sf):
     sets = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("all"))
-    return sets.select("user_id", F.slice("all", 1, 2).alias("gaps"), F.greatest(F.size("all") - 2, F.lit(0)).cast("long").alias("omitted"))
+    return sets.select("user_id", F.array_join(F.slice("all", 1, 2), ",").alias("gaps"), F.greatest(F.size("all") - 2, F.lit(0)).cast("long").alias("omitted"))
 
 
 @query("lim06_top_per_group", """

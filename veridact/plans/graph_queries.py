@@ -105,10 +105,10 @@ def gr16(spark, sf):
 
 
 @query("gr18_admissibility", """
-SELECT event_id, list_filter([CASE WHEN value IS NULL THEN 'no_value' END, CASE WHEN value < 1 THEN 'weak' END, CASE WHEN user_id % 13 = 0 THEN 'excluded' END], lambda x: x IS NOT NULL) AS reasons FROM events""")
+SELECT event_id, array_to_string(list_filter([CASE WHEN value IS NULL THEN 'no_value' END, CASE WHEN value < 1 THEN 'weak' END, CASE WHEN user_id % 13 = 0 THEN 'excluded' END], lambda x: x IS NOT NULL), ',') AS reasons FROM events""")
 def gr18(spark, sf):
     reasons = F.array_compact(F.array(F.when(F.col("value").isNull(), F.lit("no_value")), F.when(F.col("value") < 1, F.lit("weak")), F.when(F.col("user_id") % 13 == 0, F.lit("excluded"))))
-    return table(spark, sf, "events").select("event_id", reasons.alias("reasons"))
+    return table(spark, sf, "events").select("event_id", F.array_join(reasons, ",").alias("reasons"))
 
 
 @query("gr20_first_rule", """

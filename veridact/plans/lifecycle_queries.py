@@ -94,10 +94,10 @@ def lif12(spark, sf):
 
 
 @query("lif13_claim_merge", """
-SELECT sha256(l_partkey || '|' || l_suppkey) AS claim, list_sort(list(DISTINCT l_returnflag)) AS preconditions FROM lineitem GROUP BY l_partkey, l_suppkey""")
+SELECT sha256(l_partkey || '|' || l_suppkey) AS claim, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS preconditions FROM lineitem GROUP BY l_partkey, l_suppkey""")
 def lif13(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("preconditions"))
-    return g.select(F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey").cast("binary"), 256).alias("claim"), "preconditions")
+    return g.select(F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey").cast("binary"), 256).alias("claim"), F.array_join("preconditions", ",").alias("preconditions"))
 
 
 @query("lif15_elevation", """

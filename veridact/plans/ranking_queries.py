@@ -23,7 +23,7 @@ s AS (SELECT *, CASE WHEN max(a) OVER () = min(a) OVER () THEN 0 ELSE (a - min(a
   CASE WHEN max(author_entropy) OVER () = min(author_entropy) OVER () THEN 0 ELSE (author_entropy - min(author_entropy) OVER ()) / (max(author_entropy) OVER () - min(author_entropy) OVER ()) END AS nc FROM m),
 r AS (SELECT *, round(100 * (0.4 * na + 0.25 * nb + 0.2 * nc) / 0.85, 4) AS score FROM s),
 k AS (SELECT *, row_number() OVER (ORDER BY score DESC, churn_lines DESC, change_count DESC, key) AS rank, count(*) OVER () AS n FROM r)
-SELECT key, change_count, churn_lines, score, 0.85::DOUBLE AS weight_coverage, ['complexity'] AS missing_inputs, rank,
+SELECT key, change_count, churn_lines, score, 0.85::DOUBLE AS weight_coverage, 'complexity' AS missing_inputs, rank,
   CASE WHEN rank <= ceil(n * 0.05::DECIMAL(3,2)) THEN 'high' WHEN rank <= ceil(n * 0.20::DECIMAL(3,2)) THEN 'medium' ELSE 'low' END AS tier FROM k"""
 
 
@@ -40,7 +40,7 @@ def win04(spark, sf):
     scored = R.instability(units(spark, sf), WEIGHTS, ["relative_churn", "revision_frequency"])
     order = [F.col("score").desc(), F.col("churn_lines").desc(), F.col("change_count").desc(), F.col("key")]
     out = R.tiers(scored, order, [("high", "0.05"), ("medium", "0.15")], "low")
-    return out.select("key", "change_count", "churn_lines", "score", "weight_coverage", "missing_inputs", F.col("rank").cast("long").alias("rank"), "tier")
+    return out.select("key", "change_count", "churn_lines", "score", "weight_coverage", F.array_join("missing_inputs", ",").alias("missing_inputs"), F.col("rank").cast("long").alias("rank"), "tier")
 
 
 @query("win01_midrank", """
