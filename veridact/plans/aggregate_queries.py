@@ -141,9 +141,9 @@ def agg14(spark, sf):
 
 
 @query("agg15_miss_rate", """
-SELECT lang, count(*) AS audited, count(*) FILTER (toxic = 1) AS missed, round(count(*) FILTER (toxic = 1) / count(*), 6) AS miss_rate FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 = 0 GROUP BY 1""")
+SELECT lang, count(*) AS audited, count(*) FILTER (toxic = 1) AS missed, round(count(*) FILTER (toxic = 1) / count(*), 6) AS miss_rate FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1""")
 def agg15(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id").filter("doc_id % 3 = 0")
+    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id").filter("quality = 1")
     return rows.groupBy("lang").agg(F.count("*").alias("audited"), F.count_if(F.col("toxic") == 1).alias("missed")).withColumn("miss_rate", F.round(F.col("missed") / F.col("audited"), 6))
 
 

@@ -89,9 +89,9 @@ def flt07(spark, sf):
     return E.find(table(spark, sf, "documents"), {"lang": "fr"}).filter(F.col("source").isin("src1", "src2")).select("doc_id", "lang", "source")
 
 
-@query("flt08_named_set", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id % 7 = 3")
+@query("flt08_named_set", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 50")
 def flt08(spark, sf):
-    return E.find(table(spark, sf, "events"), {"event_type": "purchase"}).filter("user_id % 7 = 3").select("event_id", "user_id")
+    return E.find(table(spark, sf, "events"), {"event_type": "purchase"}).filter("value > 50").select("event_id", "user_id")
 
 
 @query("flt09_within_subject", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 10) AND l_returnflag = 'N'")

@@ -8,33 +8,36 @@ from veridact.operators import graph as G
 from veridact.operators import joins as J
 from veridact.plans.registry import query, table
 
-EDGES_SQL = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity > 40 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity < 4)"
-DAG_SQL = "e AS (SELECT DISTINCT a.p_partkey AS src, a.p_partkey + a.p_size AS dst FROM part a WHERE a.p_partkey <= 60 AND a.p_partkey + a.p_size <= 60)"
+EDGES_SQL = (
+    "e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+)
+DAG_SQL = "e AS (SELECT p_brand AS src, p_type AS dst FROM part UNION SELECT p_type, 's' || p_size FROM part UNION SELECT 's' || p_size, p_name FROM part)"
 
 
 def _edges(spark, sf):
-    line = table(spark, sf, "lineitem")
-    s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
-    return line.filter("l_quantity > 40").select(s.alias("src"), p.alias("dst")).union(line.filter("l_quantity < 4").select(p, s)).distinct()
+    """Customers and suppliers to their nations, nations to their regions."""
+    named = lambda t, a, b: table(spark, sf, t).select(F.concat(F.lit(a[0]), a[1]).alias("src"), F.concat(F.lit(b[0]), b[1]).alias("dst"))
+    return named("customer", ("c", "c_custkey"), ("n", "c_nationkey")).union(named("supplier", ("s", "s_suppkey"), ("n", "s_nationkey"))).union(named("nation", ("n", "n_nationkey"), ("r", "n_regionkey"))).distinct()
 
 
 def _dag(spark, sf):
-    part = table(spark, sf, "part").filter("p_partkey <= 60 AND p_partkey + p_size <= 60")
-    return part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst")).distinct()
+    """Brands to types to sizes to names of parts."""
+    part, size = table(spark, sf, "part"), F.concat(F.lit("s"), "p_size")
+    return part.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst")).union(part.select("p_type", size)).union(part.select(size, "p_name")).distinct()
 
 
 @query("gr01_trace", f"""
-WITH RECURSIVE {EDGES_SQL}, w(node, distance) AS (SELECT 's1', 0 UNION SELECT dst, distance + 1 FROM w JOIN e ON node = src WHERE distance < 3)
+WITH RECURSIVE {EDGES_SQL}, w(node, distance) AS (SELECT 'c1', 0 UNION SELECT dst, distance + 1 FROM w JOIN e ON node = src WHERE distance < 3)
 SELECT node, min(distance)::INT AS distance FROM w GROUP BY 1""")
 def gr01(spark, sf):
-    return G.neighbourhood(_edges(spark, sf), spark.createDataFrame([("s1",)], "node string"), 3).select("node", "distance")
+    return G.neighbourhood(_edges(spark, sf), spark.createDataFrame([("c1",)], "node string"), 3).select("node", "distance")
 
 
 @query("gr02_bidirectional", f"""
-WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, distance) AS (SELECT 's2', 0 UNION SELECT dst, distance + 1 FROM w JOIN b ON node = src WHERE distance < 2)
+WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, distance) AS (SELECT 'n2', 0 UNION SELECT dst, distance + 1 FROM w JOIN b ON node = src WHERE distance < 2)
 SELECT node, min(distance)::INT AS distance, min(distance) < 2 AS expanded FROM w GROUP BY 1""")
 def gr02(spark, sf):
-    return G.neighbourhood(G.both_ways(_edges(spark, sf)), spark.createDataFrame([("s2",)], "node string"), 2)
+    return G.neighbourhood(G.both_ways(_edges(spark, sf)), spark.createDataFrame([("n2",)], "node string"), 2)
 
 
 @query("gr03_callers", "SELECT DISTINCT n_name AS caller, r_name AS callee FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -45,14 +48,14 @@ def gr03(spark, sf):
 @query("gr04_limited_walk", None)
 def gr04(spark, sf):
     """The first 40 nodes of a walk, level by level and by name; the bound shows in `expanded`."""
-    return G.neighbourhood(_edges(spark, sf), spark.createDataFrame([("s1",), ("s3",)], "node string"), 4, limit=40)
+    return G.neighbourhood(G.both_ways(_edges(spark, sf)), spark.createDataFrame([("c1",), ("s3",)], "node string"), 4, limit=40)
 
 
 @query("gr10_call_paths", f"""
-WITH RECURSIVE {DAG_SQL}, w(path) AS (SELECT [1::BIGINT, dst] FROM e WHERE src = 1 UNION ALL SELECT list_append(path, dst) FROM w JOIN e ON path[len(path)] = src WHERE len(path) <= 5 AND NOT list_contains(path, dst))
+WITH RECURSIVE {DAG_SQL}, w(path) AS (SELECT ['Brand#11', dst] FROM e WHERE src = 'Brand#11' UNION ALL SELECT list_append(path, dst) FROM w JOIN e ON path[len(path)] = src WHERE len(path) <= 5 AND NOT list_contains(path, dst))
 SELECT array_to_string(path, '>') AS path FROM w""")
 def gr10(spark, sf):
-    found = G.paths(_dag(spark, sf), spark.createDataFrame([(1,)], "node long"), 5)
+    found = G.paths(_dag(spark, sf), spark.createDataFrame([("Brand#11",)], "node string"), 5)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -77,12 +80,12 @@ def gr12(spark, sf):
 
 
 @query("gr17_components", """
-WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity > 48),
+WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 1),
 w(node, seen) AS (SELECT a, a FROM p UNION SELECT w.node, p.b FROM w JOIN p ON w.seen = p.a)
 SELECT node, min(seen) AS component FROM w GROUP BY 1""")
 def gr17(spark, sf):
-    line = table(spark, sf, "lineitem").filter("l_quantity > 48")
+    line = table(spark, sf, "lineitem")
     pairs = J.co_members(line, "l_orderkey", "l_suppkey", most=1000).select(F.col("left").alias("src"), F.col("right").alias("dst")).distinct()
     return G.components(pairs)
 
@@ -90,7 +93,7 @@ def gr17(spark, sf):
 @query("gr05_dominators", None)
 def gr05(spark, sf):
     """Immediate dominators of one small graph per part brand."""
-    part = table(spark, sf, "part").filter("p_partkey <= 400")
+    part = table(spark, sf, "part")
     edges = part.select(F.col("p_brand").alias("graph"), F.concat(F.lit("n"), F.col("p_partkey") % 8).alias("src"), F.concat(F.lit("n"), (F.col("p_partkey") + F.col("p_size")) % 8).alias("dst"), F.lit("n0").alias("entry"))
     rooted = edges.union(edges.select("graph", F.lit("n0"), F.lit("n1"), "entry")).distinct()
     return G.dominators(rooted, "graph", "entry")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from veridact.operators import joins as J
 from veridact.plans.registry import query, table
 
-SPAN_SQL = "SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS day FROM orders"
+SPAN_SQL = "SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS day FROM orders"
 
 
 def _orders_by_day(spark, sf):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", day.alias("day"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", day.alias("day"))
 
 
 @query("jn01_left_join", """
@@ -45,11 +45,11 @@ def jn03(spark, sf):
 
 
 @query("jn04_range_suppression", f"""
-WITH o AS ({SPAN_SQL}), s AS (SELECT o_custkey AS cust, day AS lo, day + 30 AS hi FROM o WHERE o_orderkey % 10 = 0)
+WITH o AS ({SPAN_SQL}), s AS (SELECT o_custkey AS cust, day AS lo, day + 30 AS hi FROM o WHERE o_orderpriority = '1-URGENT')
 SELECT DISTINCT o.o_orderkey FROM o JOIN s ON o.o_custkey = s.cust AND o.day BETWEEN s.lo AND s.hi""")
 def jn04(spark, sf):
     orders = _orders_by_day(spark, sf).withColumn("day_end", F.col("day"))
-    spans = orders.filter("o_orderkey % 10 = 0").select("o_custkey", F.col("day").alias("lo"), (F.col("day") + 30).alias("hi"))
+    spans = orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("day").alias("lo"), (F.col("day") + 30).alias("hi"))
     met = J.overlap_join(orders, spans, ["o_custkey"], ("day", "day_end"), ("lo", "hi"), width=32)
     return met.select("o_orderkey").distinct()
 
@@ -57,11 +57,11 @@ def jn04(spark, sf):
 @query("jn05_overlap_tolerance", f"""
 WITH o AS ({SPAN_SQL})
 SELECT a.o_orderkey AS report, b.o_orderkey AS defect FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.day - 3 <= b.day + 10 AND b.day <= a.day + 5 + 3
-WHERE a.o_orderkey % 2 = 0 AND b.o_orderkey % 2 = 1""")
+WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'""")
 def jn05(spark, sf):
     orders = _orders_by_day(spark, sf)
-    reports = orders.filter("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderkey").alias("report"), F.col("day").alias("rs"), (F.col("day") + 5).alias("re"))
-    defects = orders.filter("o_orderkey % 2 = 1").select("o_custkey", F.col("o_orderkey").alias("defect"), F.col("day").alias("ds"), (F.col("day") + 10).alias("de"))
+    reports = orders.filter("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("report"), F.col("day").alias("rs"), (F.col("day") + 5).alias("re"))
+    defects = orders.filter("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("defect"), F.col("day").alias("ds"), (F.col("day") + 10).alias("de"))
     return J.overlap_join(reports, defects, ["o_custkey"], ("rs", "re"), ("ds", "de"), width=16, tolerance=3).select("report", "defect")
 
 
@@ -75,10 +75,10 @@ def jn06(spark, sf):
 
 
 @query("jn07_point_in_interval", """
-SELECT e.event_id, i.p_partkey FROM events e JOIN (SELECT p_partkey, p_partkey * 37 AS lo, p_partkey * 37 + p_size AS hi FROM part WHERE p_partkey <= 200) i
+SELECT e.event_id, i.p_partkey FROM events e JOIN (SELECT p_partkey, p_partkey * 37 AS lo, p_partkey * 37 + p_size AS hi FROM part) i
   ON e.event_id >= i.lo AND e.event_id < i.hi""")
 def jn07(spark, sf):
-    intervals = table(spark, sf, "part").filter("p_partkey <= 200").select("p_partkey", (F.col("p_partkey") * 37).alias("lo"), (F.col("p_partkey") * 37 + F.col("p_size")).alias("hi"))
+    intervals = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") * 37).alias("lo"), (F.col("p_partkey") * 37 + F.col("p_size")).alias("hi"))
     events = table(spark, sf, "events").select("event_id")
     return J.point_in_interval(events, "event_id", intervals, "lo", "hi").select("event_id", "p_partkey")
 
@@ -106,12 +106,12 @@ def jn11(spark, sf):
 
 @query("jn12_longest_prefix", """
 WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
-r AS (SELECT DISTINCT regexp_extract(path, '^[^/]+') AS root FROM p UNION SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) FROM p WHERE page_id % 2 = 0)
+r AS (SELECT DISTINCT regexp_extract(path, '^[^/]+') AS root FROM p UNION SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) FROM p)
 SELECT p.page_id, max_by(r.root, length(r.root)) AS root FROM p LEFT JOIN (SELECT * FROM r WHERE root <> '') r ON p.path = r.root OR starts_with(p.path, r.root || '/') GROUP BY p.page_id""")
 def jn12(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
     hosts = pages.select(F.regexp_extract("path", "^[^/]+", 0).alias("root"))
-    folders = pages.filter("page_id % 2 = 0").select(F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("root"))
+    folders = pages.select(F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("root"))
     roots = hosts.union(folders).filter("root <> ''").distinct()
     return J.longest_prefix(pages, "path", roots, "root", ["page_id"]).select("page_id", "root")
 
@@ -158,10 +158,10 @@ def jn19(spark, sf):
 
 
 @query("jn20_nominate", """
-WITH d AS (SELECT DISTINCT user_id, event_type, event_id % 500 AS e FROM events WHERE value > 80)
+WITH d AS (SELECT DISTINCT user_id, event_type, event_id // 20 AS e FROM events)
 SELECT DISTINCT a.user_id AS left_id, b.user_id AS right_id FROM d a JOIN d b ON a.e = b.e AND a.user_id < b.user_id AND a.event_type IS DISTINCT FROM b.event_type""")
 def jn20(spark, sf):
-    rows = table(spark, sf, "events").filter("value > 80").select("user_id", "event_type", (F.col("event_id") % 500).alias("e")).distinct()
+    rows = table(spark, sf, "events").select("user_id", "event_type", F.floor(F.col("event_id") / 20).alias("e")).distinct()
     return J.nominate(rows, "user_id", "e", "event_type")
 
 
@@ -258,11 +258,11 @@ def jn09(spark, sf):
 
 
 @query("jn14_own_line_overlap", """
-WITH c AS (SELECT o_orderkey, o_custkey, o_orderkey % 100 AS lo, o_orderkey % 100 + 9 AS hi FROM orders WHERE o_orderkey <= 2000),
-s AS (SELECT p_partkey, p_partkey % 100 AS slo, p_partkey % 100 + p_size AS shi FROM part WHERE p_partkey <= 200)
-SELECT p_partkey, sum(least(hi, shi) - greatest(lo, slo) + 1)::BIGINT AS lines FROM c JOIN s ON lo <= shi AND slo <= hi GROUP BY 1""")
+WITH c AS (SELECT l_orderkey, l_linenumber * 10 AS lo, l_linenumber * 10 + 9 AS hi FROM lineitem), s AS (SELECT l_orderkey, l_partkey, l_partkey % 50 AS slo, l_partkey % 50 + l_quantity::BIGINT AS shi FROM lineitem)
+SELECT l_partkey, sum(least(hi, shi) - greatest(lo, slo) + 1)::BIGINT AS lines FROM c JOIN s USING (l_orderkey) WHERE lo <= shi AND slo <= hi GROUP BY 1""")
 def jn14(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey <= 2000").select(F.lit(0).alias("f"), (F.col("o_orderkey") % 100).alias("lo"), (F.col("o_orderkey") % 100 + 9).alias("hi"))
-    s = table(spark, sf, "part").filter("p_partkey <= 200").select(F.lit(0).alias("f"), "p_partkey", (F.col("p_partkey") % 100).alias("slo"), (F.col("p_partkey") % 100 + F.col("p_size")).alias("shi"))
-    met = J.overlap_join(o, s, ["f"], ("lo", "hi"), ("slo", "shi"), width=32)
-    return met.groupBy("p_partkey").agg(F.sum(F.least("hi", "shi") - F.greatest("lo", "slo") + 1).cast("long").alias("lines"))
+    line = table(spark, sf, "lineitem")
+    c = line.select("l_orderkey", (F.col("l_linenumber") * 10).alias("lo"), (F.col("l_linenumber") * 10 + 9).alias("hi"))
+    s = line.select("l_orderkey", "l_partkey", (F.col("l_partkey") % 50).alias("slo"), (F.col("l_partkey") % 50 + F.col("l_quantity").cast("long")).alias("shi"))
+    met = J.overlap_join(c, s, ["l_orderkey"], ("lo", "hi"), ("slo", "shi"), width=32)
+    return met.groupBy("l_partkey").agg(F.sum(F.least("hi", "shi") - F.greatest("lo", "slo") + 1).cast("long").alias("lines"))

@@ -13,12 +13,15 @@ from veridact.operators.search import folded_tokens, tokens
 from veridact.plans.registry import query, table
 from veridact.sources import documents
 
-CALLS_SQL = "e AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_quantity = 50 AND l_suppkey % 40 <> l_partkey % 40)"
+CALLS_SQL = "e AS (SELECT DISTINCT o_custkey AS src, l_suppkey + 1000000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT l_suppkey + 1000000000, l_partkey + 2000000000 FROM lineitem WHERE l_returnflag = 'R')"
 
 
 def _calls(spark, sf):
-    line = table(spark, sf, "lineitem").filter("l_quantity = 50 AND l_suppkey % 40 <> l_partkey % 40")
-    return line.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).distinct()
+    """Customers to their suppliers, suppliers to the parts that came back from them."""
+    line = table(spark, sf, "lineitem")
+    supplier = F.col("l_suppkey") + 1_000_000_000
+    bought = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(line, "l_orderkey").select(F.col("o_custkey").alias("src"), supplier.alias("dst"))
+    return bought.union(line.filter("l_returnflag = 'R'").select(supplier, F.col("l_partkey") + 2_000_000_000)).distinct()
 
 
 @query("src05_wanted_paths", "SELECT page_id, url FROM pages WHERE page_id IN (SELECT p_partkey FROM part WHERE p_size = 3)")
@@ -138,16 +141,12 @@ def ver05(spark, sf):
     return p.join(hits, "p_partkey", "left").select("p_partkey", F.least(c, F.lit(3)).cast("long").alias("advisories"), (c <= 3).alias("complete"))
 
 
-@query("jn27_include_closure", f"WITH RECURSIVE {CALLS_SQL}, w(unit, file) AS (SELECT src, dst FROM e WHERE src < 5 UNION SELECT unit, dst FROM w JOIN e ON file = src) SELECT unit, count(DISTINCT file) AS files FROM w GROUP BY 1")
+@query("jn27_include_closure", f"WITH {CALLS_SQL}, w AS (SELECT src AS unit, dst AS file FROM e WHERE src < 1000000000 UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src < 1000000000) SELECT unit, count(*) AS files FROM w GROUP BY 1")
 def jn27(spark, sf):
-    return G.closure(_calls(spark, sf)).unionByName(_cycles(spark, sf)).distinct().filter("src < 5").groupBy(F.col("src").alias("unit")).agg(F.count_distinct("dst").alias("files"))
-
-
-def _cycles(spark, sf):
-    """Nodes that reach themselves."""
-    c = G.closure(_calls(spark, sf))
-    back = c.alias("a").join(c.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
-    return back.select(F.col("a.src").alias("src"), F.col("a.src").alias("dst")).distinct()
+    e = _calls(spark, sf)
+    direct = e.filter("src < 1000000000")
+    further = direct.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+    return direct.union(further).distinct().groupBy(F.col("src").alias("unit")).agg(F.count("*").alias("files"))
 
 
 @query("agg33_distances", f"""
@@ -156,9 +155,9 @@ def agg33(spark, sf):
     return G.neighbourhood(_calls(spark, sf), spark.createDataFrame([(1,)], "node long"), 3).groupBy("distance").agg(F.count("*").alias("n"))
 
 
-@query("gr04_near", f"WITH RECURSIVE {CALLS_SQL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, d) AS (SELECT 7::BIGINT, 0 UNION SELECT dst, d + 1 FROM w JOIN b ON node = src WHERE d < 2) SELECT node, min(d)::INT AS distance FROM w GROUP BY 1")
+@query("gr04_near", f"WITH RECURSIVE {CALLS_SQL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, d) AS (SELECT 1000000007::BIGINT, 0 UNION SELECT dst, d + 1 FROM w JOIN b ON node = src WHERE d < 2) SELECT node, min(d)::INT AS distance FROM w GROUP BY 1")
 def gr04(spark, sf):
-    return G.neighbourhood(G.both_ways(_calls(spark, sf)), spark.createDataFrame([(7,)], "node long"), 2).select("node", "distance")
+    return G.neighbourhood(G.both_ways(_calls(spark, sf)), spark.createDataFrame([(1_000_000_007,)], "node long"), 2).select("node", "distance")
 
 
 @query("gr06_post_dominators", None)
@@ -180,29 +179,31 @@ def gr07(spark, sf):
 @query("gr09_bounded_slice", None)
 def gr09(spark, sf):
     """A slice of at most 25 nodes in both directions."""
-    return G.neighbourhood(G.both_ways(_calls(spark, sf)), spark.createDataFrame([(3,), (9,)], "node long"), 5, limit=25)
+    return G.neighbourhood(G.both_ways(_calls(spark, sf)), spark.createDataFrame([(3,), (1_000_000_009,)], "node long"), 5, limit=25)
 
 
 @query("gr11_chains", """
-WITH RECURSIVE s AS (SELECT p_partkey AS step, p_size / 10.0 AS sev FROM part WHERE p_partkey <= 40), e AS (SELECT p_partkey AS src, p_partkey + p_size AS dst FROM part WHERE p_partkey <= 40 AND p_partkey + p_size <= 40),
+WITH RECURSIVE e AS (SELECT p_brand AS src, p_type AS dst FROM part UNION SELECT p_type, 's' || p_size FROM part), s AS (SELECT src AS step, length(src) / 10.0 AS sev FROM e UNION SELECT dst, length(dst) / 10.0 FROM e),
 w(chain, worst) AS (SELECT [step], sev FROM s UNION ALL SELECT list_append(chain, dst), greatest(worst, sev) FROM w JOIN e ON chain[len(chain)] = src JOIN s ON s.step = dst WHERE len(chain) < 4 AND NOT list_contains(chain, dst))
 SELECT array_to_string(chain, '>') AS chain, round(worst + (len(chain) - 1) * 0.1, 4)::DOUBLE AS score FROM w WHERE len(chain) > 1""")
 def gr11(spark, sf):
-    part = table(spark, sf, "part").filter("p_partkey <= 40")
-    steps = part.select(F.col("p_partkey").alias("step"), (F.col("p_size") / 10.0).alias("severity"))
-    links = part.filter("p_partkey + p_size <= 40").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst"))
+    part = table(spark, sf, "part")
+    links = part.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst")).union(part.select("p_type", F.concat(F.lit("s"), "p_size"))).distinct()
+    steps = links.select(F.col("src").alias("step")).union(links.select("dst")).distinct().withColumn("severity", F.length("step") / 10.0)
     found = replay.chains(steps, links, 4)
-    return found.select(F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"), F.round("score", 4).alias("score"))
+    return found.select(F.array_join("chain", ">").alias("chain"), F.round("score", 4).alias("score"))
 
 
 @query("win20_subsumption", """
-WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + p_size AS dst FROM part WHERE p_partkey <= 40 AND p_partkey + p_size <= 40),
+WITH RECURSIVE e AS (SELECT c_mktsegment AS src, n_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 w(chain) AS (SELECT [src, dst] FROM e UNION ALL SELECT list_append(chain, dst) FROM w JOIN e ON chain[len(chain)] = src WHERE len(chain) < 5), t AS (SELECT array_to_string(chain, '>') AS c FROM w)
 SELECT c AS chain FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.c <> t.c AND contains('>' || u.c || '>', '>' || t.c || '>'))""")
 def win20(spark, sf):
-    links = table(spark, sf, "part").filter("p_partkey <= 40 AND p_partkey + p_size <= 40").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst"))
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    segments = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("src"), F.col("n_name").alias("dst"))
+    links = segments.union(nation.select("n_name", "r_name")).distinct()
     walks = G.paths(links, links.select(F.col("src").alias("node")).distinct(), 4)
-    keyed = walks.select(F.col("path").alias("chain"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("key")).distinct()
+    keyed = walks.select(F.col("path").alias("chain"), F.array_join("path", ">").alias("key")).distinct()
     return R.drop_contained(keyed, "chain", "key").select(F.col("key").alias("chain"))
 
 

@@ -9,9 +9,9 @@ from veridact.plans.registry import query, table
 from veridact.sources import coverage, documents, feeds, findings, history, profiles, sinks
 
 
-def _lines(df, order, value):
-    """Rendered lines as (file, line_no, value), one file per user group."""
-    return df.select(F.lit("f").alias("file"), F.row_number().over(Window.partitionBy(F.lit("f")).orderBy(*order)).alias("line_no"), value.alias("value"))
+def _lines(df, file, order, value):
+    """Rendered lines as (file, line_no, value), one file for each value of a column."""
+    return df.select(F.col(file).cast("string").alias("file"), F.row_number().over(Window.partitionBy(file).orderBy(*order)).alias("line_no"), value.alias("value"))
 
 
 @query("src06_lcov", """
@@ -78,37 +78,37 @@ def src13(spark, sf):
 
 
 @query("src14_sarif", """
-SELECT 'scan' AS tool, event_type AS rule_id, CASE WHEN event_id % 2 = 0 THEN 'error' ELSE 'warning' END AS level, 'u' || user_id AS path, (event_id % 100 + 1)::INT AS start_line FROM events WHERE event_id < 500""")
+SELECT 'scan' AS tool, event_type AS rule_id, CASE WHEN event_id % 2 = 0 THEN 'error' ELSE 'warning' END AS level, 'u' || user_id AS path, (event_id % 100 + 1)::INT AS start_line FROM events""")
 def src14(spark, sf):
     place = F.struct(F.struct(F.struct(F.concat(F.lit("u"), "user_id").alias("uri")).alias("artifactLocation"), F.struct((F.col("event_id") % 100 + 1).alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("event_type").alias("ruleId"), F.when(F.col("event_id") % 2 == 0, F.lit("error")).alias("level"), F.array(place).alias("locations"))
     run = F.struct(F.struct(F.struct(F.lit("scan").alias("name")).alias("driver")).alias("tool"), F.array(result).alias("results"))
-    docs = table(spark, sf, "events").filter("event_id < 500").select(F.to_json(F.struct(F.array(run).alias("runs"))).alias("value"))
+    docs = table(spark, sf, "events").select(F.to_json(F.struct(F.array(run).alias("runs"))).alias("value"))
     return findings.sarif(docs).select("tool", "rule_id", "level", "path", "start_line")
 
 
-@query("src15_scanner_json", "SELECT 'grype' AS scanner, 'CVE-' || p_partkey AS rule_id, CASE WHEN p_size > 25 THEN 'high' ELSE 'unknown' END AS severity, p_name || '@' || p_size AS subject FROM part WHERE p_partkey <= 300")
+@query("src15_scanner_json", "SELECT 'grype' AS scanner, 'CVE-' || p_partkey AS rule_id, CASE WHEN p_size > 25 THEN 'high' ELSE 'unknown' END AS severity, p_name || '@' || p_size AS subject FROM part")
 def src15(spark, sf):
     match = F.struct(F.struct(F.concat(F.lit("CVE-"), "p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.lit("High")).alias("severity")).alias("vulnerability"), F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version")).alias("artifact"))
-    docs = table(spark, sf, "part").filter("p_partkey <= 300").select(F.to_json(F.struct(F.array(match).alias("matches"))).alias("value"))
+    docs = table(spark, sf, "part").select(F.to_json(F.struct(F.array(match).alias("matches"))).alias("value"))
     return findings.flatten("grype", docs)
 
 
-@query("src16_numstat_log", "SELECT md5(o_orderkey::VARCHAR) AS commit, 'c' || o_custkey AS author, 'p' || l_partkey AS path, l_quantity::BIGINT AS added, l_linenumber::BIGINT AS deleted FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey <= 500")
+@query("src16_numstat_log", "SELECT md5(o_orderkey::VARCHAR) AS commit, 'c' || o_custkey AS author, 'p' || l_partkey AS path, l_quantity::BIGINT AS added, l_linenumber::BIGINT AS deleted FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def src16(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_orderkey <= 500")
+    orders = table(spark, sf, "orders")
     head = orders.select("o_orderkey", F.lit(0).alias("k"), F.lit(0).cast("long").alias("p"), F.concat(F.lit("commit "), F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.lit(" 100 c"), "o_custkey").alias("v"))
     line = table(spark, sf, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     body = line.select(F.col("l_orderkey"), F.col("l_linenumber"), "l_partkey", F.concat(F.col("l_quantity").cast("long"), F.lit("\t"), "l_linenumber", F.lit("\tp"), "l_partkey"))
-    return history.numstat_log(_lines(head.union(body), ["o_orderkey", "k", "p"], F.col("v"))).filter("path IS NOT NULL").select("commit", "author", "path", "added", "deleted")
+    return history.numstat_log(_lines(head.union(body), "o_orderkey", ["o_orderkey", "k", "p"], F.col("v"))).filter("path IS NOT NULL").select("commit", "author", "path", "added", "deleted")
 
 
-@query("src17_hunks", "SELECT 'abcdef' || lpad(p_partkey::VARCHAR, 6, '0') AS commit, 1::INT AS ordinal, p_size::INT AS old_start, 1::INT AS old_len, (p_size + 1)::INT AS new_start, 3::INT AS new_len FROM part WHERE p_partkey <= 300")
+@query("src17_hunks", "SELECT 'abcdef' || lpad(p_partkey::VARCHAR, 6, '0') AS commit, 1::INT AS ordinal, p_size::INT AS old_start, 1::INT AS old_len, (p_size + 1)::INT AS new_start, 3::INT AS new_len FROM part")
 def src17(spark, sf):
-    part = table(spark, sf, "part").filter("p_partkey <= 300")
+    part = table(spark, sf, "part")
     head = part.select("p_partkey", F.lit(0).alias("k"), F.concat(F.lit("commit abcdef"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("v"))
     body = part.select("p_partkey", F.lit(1), F.concat(F.lit("@@ -"), "p_size", F.lit(" +"), F.col("p_size") + 1, F.lit(",3 @@ x")))
-    return history.hunks(_lines(head.union(body), ["p_partkey", "k"], F.col("v")))
+    return history.hunks(_lines(head.union(body), "p_partkey", ["p_partkey", "k"], F.col("v")))
 
 
 @query("src18_first_seen_pages", "SELECT conv_id, min(turn) AS first_turn, count(*) AS rows FROM conversations GROUP BY 1")
@@ -131,11 +131,11 @@ def src21(spark, sf):
     return feeds.kev(docs).select("cve_id", "product", "known_ransomware_use")
 
 
-@query("src22_osv_packages", "SELECT 'G-' || p_partkey AS id, p_brand AS ecosystem, p_name AS name, 'introduced:0,fixed:' || p_size AS events FROM part WHERE p_partkey <= 300")
+@query("src22_osv_packages", "SELECT 'G-' || p_partkey AS id, p_brand AS ecosystem, p_name AS name, 'introduced:0,fixed:' || p_size AS events FROM part")
 def src22(spark, sf):
     events = F.array(F.create_map(F.lit("introduced"), F.lit("0")), F.create_map(F.lit("fixed"), F.col("p_size").cast("string")))
     affected = F.array(F.struct(F.struct(F.col("p_brand").alias("ecosystem"), F.col("p_name").alias("name")).alias("package"), F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges")))
-    docs = table(spark, sf, "part").filter("p_partkey <= 300").select(F.concat(F.lit("G-"), "p_partkey").alias("id"), F.to_json(F.struct(affected.alias("affected"))).alias("raw_json"))
+    docs = table(spark, sf, "part").select(F.concat(F.lit("G-"), "p_partkey").alias("id"), F.to_json(F.struct(affected.alias("affected"))).alias("raw_json"))
     return feeds.osv_packages(docs).select("id", "ecosystem", "name", F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["kind"], e["version"])), ",").alias("events"))
 
 
@@ -151,12 +151,12 @@ def src24(spark, sf):
     return documents.ir_edges(table(spark, sf, "nation").select(F.concat(F.lit("m"), "n_nationkey").alias("module"), text.alias("value")))
 
 
-@query("src27_property_graph", "SELECT 'c' || o_custkey AS caller, 'c' || (o_custkey + 1) AS callee, EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey <= 300 AND p.o_custkey = o.o_custkey + 1) AS resolved FROM orders o WHERE o_orderkey <= 300 AND o_orderkey IN (SELECT min(o_orderkey) FROM orders WHERE o_orderkey <= 300 GROUP BY o_custkey)")
+@query("src27_property_graph", "SELECT 'c' || c_custkey AS caller, 'c' || (c_custkey * 2) AS callee, c_custkey * 2 IN (SELECT c_custkey FROM customer) AS resolved FROM customer")
 def src27(spark, sf):
-    first = table(spark, sf, "orders").filter("o_orderkey <= 300").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
-    methods = first.select(F.concat(F.lit("m"), "k").alias("id"), F.lit("METHOD").alias("label"), F.concat(F.lit("c"), "o_custkey").alias("name"))
-    calls = first.select(F.concat(F.lit("x"), "k").alias("id"), F.lit("CALL").alias("label"), F.concat(F.lit("c"), F.col("o_custkey") + 1).alias("name"))
-    edges = first.select(F.concat(F.lit("m"), "k").alias("src"), F.concat(F.lit("x"), "k").alias("dst"), F.lit("CONTAINS").alias("label"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    methods = c.select(F.concat(F.lit("m"), "k").alias("id"), F.lit("METHOD").alias("label"), F.concat(F.lit("c"), "k").alias("name"))
+    calls = c.select(F.concat(F.lit("x"), "k").alias("id"), F.lit("CALL").alias("label"), F.concat(F.lit("c"), F.col("k") * 2).alias("name"))
+    edges = c.select(F.concat(F.lit("m"), "k").alias("src"), F.concat(F.lit("x"), "k").alias("dst"), F.lit("CONTAINS").alias("label"))
     return documents.graph_csv(methods.union(calls), edges)
 
 
@@ -173,15 +173,15 @@ def src30(spark, sf):
     return parts.groupBy("item_id").agg(F.count("*").alias("n"))
 
 
-@query("src31_crash_logs", "SELECT 'sanitizer' AS scanner, event_type AS rule_id, 'high' AS severity, 'f' || user_id AS subject FROM events WHERE event_id < 500")
+@query("src31_crash_logs", "SELECT 'sanitizer' AS scanner, event_type AS rule_id, 'high' AS severity, 'f' || user_id AS subject FROM events")
 def src31(spark, sf):
     log = F.concat(F.lit("==1==ERROR: AddressSanitizer: "), "event_type", F.lit(" on x\n    #0 0xab in f"), "user_id", F.lit(" a.c:3"))
-    return findings.flatten("sanitizer", table(spark, sf, "events").filter("event_id < 500").select(log.alias("value")))
+    return findings.flatten("sanitizer", table(spark, sf, "events").select(log.alias("value")))
 
 
-@query("snk06_sarif_export", "SELECT count(*) AS n FROM events WHERE event_id < 300")
+@query("snk06_sarif_export", "SELECT count(*) AS n FROM events")
 def snk06(spark, sf):
-    rows = table(spark, sf, "events").filter("event_id < 300").select(F.col("event_type").alias("rule_id"), F.lit("note").alias("level"), F.lit("m").alias("message"), F.lit("p").alias("path"), F.col("event_id").alias("start_line"), F.col("event_id").alias("end_line"))
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("rule_id"), F.lit("note").alias("level"), F.lit("m").alias("message"), F.lit("p").alias("path"), F.col("event_id").alias("start_line"), F.col("event_id").alias("end_line"))
     return sinks.sarif_results(rows).agg(F.count("value").alias("n"))
 
 
