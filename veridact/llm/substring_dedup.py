@@ -11,7 +11,7 @@ in ascending length, stopping at the window's length.
 from __future__ import annotations
 
 import hashlib
-import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +23,13 @@ from veridact.llm import blocks as B
 from veridact.llm.common import blocks_for, files_for, materialize
 
 WINDOW, ANCHOR = 100, 24
-CHUNK = 1 << 20
+CHUNK = 256 << 10
 #: Text that is put in one Burrows-Wheeler transform, but for the anchor that reaches beyond it.
 EXPAND_BYTES = 256 << 10
 #: Anchors with more different runs are settled window by window, by hashes dealt over all tasks.
 HOT_RUNS = 4096
 #: Text per piece, which bounds a worker's memory, and text whose anchors a bucket holds.
-PIECE_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+PIECE_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 RANGES, RUNS, WINDOWS = 0, 1, 2
 
 _BASE = 0x9E3779B97F4A7C15
@@ -112,7 +112,9 @@ def find_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: i
         seg = np.searchsorted(at, begin, "right") - 1
         whole = hashes.of(begin, begin + count + window - 1)
         whole = _mixed(whole + (mark - begin).astype(np.uint64) * np.uint64(1009) + count.astype(np.uint64))
-        found.append((text[seg], begin - at[seg] + first[seg] - starts[text[seg]], count, gram[mark], whole))
+        # least hashes are small numbers: mixed again, they spread over all buckets
+        name = _mixed(gram[mark] ^ np.uint64(_BASE))
+        found.append((text[seg], begin - at[seg] + first[seg] - starts[text[seg]], count, name, whole))
     kinds = (np.int32, np.int32, np.uint8, np.uint64, np.uint64)
     names = ("row", "pos", "count", "anchor", "whole")
     return {n: np.concatenate([f[k] for f in found]).astype(t) if found else np.zeros(0, t) for k, (n, t) in enumerate(zip(names, kinds))}
@@ -189,13 +191,29 @@ def repeated_windows(strings: list[bytes], counts: np.ndarray, window: int = WIN
     return asked > first[own]
 
 
-def _pack(**arrays) -> bytes:
-    return pickle.dumps(arrays, 5)
+#: Columns of packed rows, in this order where they are present.
+_COLUMNS = (("row", "<i4"), ("pos", "<i4"), ("count", "u1"), ("anchor", "<u8"), ("whole", "<u8"), ("id", "<i8"), ("hot", "?"))
+
+
+def _pack(tail: bytes = b"", **arrays: np.ndarray) -> bytes:
+    """Rows as a byte that tells the columns, their number, column after column, and what else belongs to them."""
+    mask = sum(1 << k for k, (name, _) in enumerate(_COLUMNS) if name in arrays)
+    return struct.pack("<BI", mask, len(arrays["row"])) + b"".join(np.asarray(arrays[n], t).tobytes() for n, t in _COLUMNS if n in arrays) + tail
+
+
+def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], bytes]:
+    mask, n = struct.unpack_from("<BI", blob)
+    at, out = 5, {}
+    for k, (name, kind) in enumerate(_COLUMNS):
+        if mask >> k & 1:
+            out[name] = np.frombuffer(blob, kind, n, at)
+            at += out[name].nbytes
+    return out, blob[at:]
 
 
 def _joined(blobs: list[bytes], places: list[int]) -> dict[str, np.ndarray]:
-    parts = [pickle.loads(b) for b in blobs]
-    out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0] if k != "bytes"}
+    parts = [_unpack(b)[0] for b in blobs]
+    out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     out["place"] = np.repeat(np.array(places, np.int64), [len(p["row"]) for p in parts])
     return out
 
@@ -236,7 +254,7 @@ def _expand(rows: pa.Table, window: int) -> list[tuple[int, int, bytes]]:
     """Of different runs around common anchors: the windows that precede in another, by the transform."""
     blobs, places = rows["blob"].to_pylist(), rows["place"].to_pylist()
     runs = _joined(blobs, places)
-    text = b"".join(pickle.loads(b)["bytes"] for b in blobs)
+    text = b"".join(_unpack(b)[1] for b in blobs)
     sizes = runs["count"].astype(np.int64) + window - 1
     starts = np.cumsum(sizes) - sizes
     order = np.lexsort((runs["pos"], runs["row"], runs["place"], runs["id"], runs["anchor"]))
@@ -345,20 +363,29 @@ def remove_repeats(
         end = begin + cold["count"] + window - 1
         for bucket, a, b in zip(buckets.tolist(), at, at[1:]):
             text = b"".join(data[s:e].tobytes() for s, e in zip(begin[a:b].tolist(), end[a:b].tolist()))
-            out.append((RUNS, bucket, place, _pack(**{k: v[a:b] for k, v in cold.items()}, bytes=text)))
+            out.append((RUNS, bucket, place, _pack(text, **{k: v[a:b] for k, v in cold.items()})))
         if hot.any():
             count = runs["count"][hot].astype(np.int64)
             pos = np.repeat(runs["pos"][hot], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
             row = np.repeat(runs["row"][hot], count)
             own = _window_hashes(data, starts[row] + pos, window)
             windows = {"row": row, "pos": pos, "count": np.ones(len(pos), np.uint8), "anchor": own, "whole": own, "id": ids[row]}
-            out += packed(place, WINDOWS, windows, own)
+            order = np.lexsort((pos, row, windows["id"]))
+            windows = {k: v[order] for k, v in windows.items()}
+            _, first = np.unique(windows["whole"], return_index=True)
+            later = np.ones(len(order), bool)
+            later[first] = False
+            if later.any():  # an equal window in this piece comes first
+                out.append((RANGES, int(place % n_buckets), place, _pack(**{k: windows[k][later] for k in ("row", "pos", "count")})))
+            first.sort()
+            out += packed(place, WINDOWS, {k: v[first] for k, v in windows.items()}, windows["whole"][first])
         return pa.Table.from_batches([batch_of(out)])
 
     def compare(rows: pa.Table) -> pa.Table:
-        if rows["kind"][0].as_py() == WINDOWS:
-            return _answer_table([a for a in _resolve(rows, hot_runs) if a[1] == RANGES])
-        return _answer_table(_expand(rows, window))
+        kind = rows["kind"][0].as_py()
+        if kind == RANGES:
+            return settle(rows)
+        return _answer_table([a for a in _resolve(rows, hot_runs) if a[1] == RANGES] if kind == WINDOWS else _expand(rows, window))
 
     need = answers.filter(F.col("kind") == RUNS)
     compared = B.join_answers(table, need, fetch, asked_schema).groupBy("kind", "bucket").applyInArrow(compare, answer_schema)
