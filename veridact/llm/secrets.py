@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +17,25 @@ KINDS = ("assign", "access", "hex", "random")
 #: Stretches that the battery tests: 20 characters or more of an encoding's alphabet.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 #: Inferred encoding: pattern of the whole stretch, alphabet in digit order, and how often, in an ordinary stretch of that
-#: look (words, names, numbers), a symbol is of another class (lower case, upper case, digit, sign) than the one before.
+#: look (words, names, numbers), a symbol is of another class (lower case, upper case, digit, sign) than the one before, and
+#: how many other classes there are, taken as equally likely.
 ENCODINGS = {
-    "hex": (r"^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef", 0.25),
-    "base32": (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.15),
-    "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.15),
-    "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.3),
+    "hex": (r"^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef", 0.25, 1),
+    "base32": (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.15, 1),
+    "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.15, 1),
+    "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.3, 3),
 }
 _CLASSED = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
 #: Lower ends of the length classes within which false discoveries are controlled.
 LENGTH_CLASSES = (20, 24, 32, 48, 64, 128)
 BINS_PER_DECADE, MAX_BIN = 10, 400
+#: Ordinary letter pairs are learned from so many texts at most, and from so many characters of each.
+PROSE_TEXTS, PROSE_CHARS = 2000, 2000
+#: Weights of pair, letter and equal chances in an ordinary letter's probability: words may be joined or from elsewhere.
+PAIR_SHARE, LETTER_SHARE, EQUAL_SHARE = 0.6, 0.35, 0.05
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Letters of English in thousandths: names in code are English whatever language surrounds them.
+_ENGLISH = (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.7)
 FALSE_DISCOVERY_RATE = 0.01
 #: 99.9% point of chi-squared with three degrees of freedom: the battery's joint statistic stays below it on random text.
 BATTERY_LIMIT = 16.266
@@ -56,19 +66,34 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
 
 
-def _tail(z: Column) -> Column:
-    """Lower tail of the normal distribution; rational approximation by Abramowitz and Stegun, 26.2.17."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * series
-    return F.when(z < 0, tail).otherwise(1 - tail)
-
+def prose(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """Logarithms of the chances of a letter after a letter, or after anything else: 27 rows of 26, learned from ordinary words.
 
-def _battery(x: Column) -> Column:
-    """The tests of one candidate: stratum of encoding and length, p-value bin, and whether it agrees with randomness."""
-    encoding = F.coalesce(*[F.when(x["text"].rlike(p), F.lit(name)) for name, (p, _, _) in ENCODINGS.items()])
-    alphabet = F.coalesce(*[F.when(encoding == name, F.lit(a)) for name, (_, a, _) in ENCODINGS.items()])
+    Words have at most 19 letters, so candidates teach nothing. A bounded sample is drawn by hash; the driver gets at most
+    27 * 26 counts.
+    """
+    some = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("draw"), F.substring(text_col, 1, PROSE_CHARS).alias("text"))
+    texts = some.orderBy("draw", "text").limit(PROSE_TEXTS)
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9+/_-]+"), lambda w: w.rlike("^[a-z]{2,19}$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.concat(F.lit("."), F.col("word")), i, F.lit(2)))
+    counts = texts.select(F.explode(words).alias("word")).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    n = {r["pair"]: r["n"] for r in counts.collect()}
+    of = {c: 1 + sum(n.get(a + c, 0) for a in _LETTERS + ".") for c in _LETTERS}
+    whole = sum(of.values())
+    out = []
+    for a in _LETTERS + ".":
+        after = sum(n.get(a + c, 0) for c in _LETTERS)
+        for c in _LETTERS:
+            letter = of[c] / whole
+            pair = (n.get(a + c, 0) + 26 * letter) / (after + 26)
+            out.append(math.log(PAIR_SHARE * pair + LETTER_SHARE * letter + EQUAL_SHARE / 26))
+    return out
+
+
+def _battery(x: Column, ordinary: Column) -> Column:
+    """What the tests of one candidate count: its digits, equal pairs, changes of class, and ordinary chance of its symbols."""
+    encoding = F.coalesce(*[F.when(x["text"].rlike(p), F.lit(name)) for name, (p, *_) in ENCODINGS.items()])
+    alphabet = F.coalesce(*[F.when(encoding == name, F.lit(a)) for name, (_, a, *_) in ENCODINGS.items()])
     plain = F.when(encoding == "base64", F.translate(x["text"], "-_", "+/")).otherwise(F.lower(x["text"]))
     symbols = F.array_remove(F.split(plain, ""), "")
     digits = F.transform(symbols, lambda c: F.position(c, alphabet) - 1)
@@ -77,9 +102,20 @@ def _battery(x: Column) -> Column:
     k = F.length(alphabet).cast("double")
     classes = F.array_remove(F.split(F.translate(x["text"], *_CLASSED), ""), "")
     turns = F.aggregate(_differ(classes), F.lit(0), lambda a, v: a + v).cast("double")
+    places = F.transform(F.array_remove(F.split(F.lower(x["text"]), ""), ""), lambda c: F.position(c, F.lit(_LETTERS)) - 1)
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.size(places) - 1))
+    learned = F.zip_with(before, places, lambda a, b: F.when(b >= 0, F.get(ordinary, F.when(a < 0, 26).otherwise(a) * 26 + b)))
+    letters = F.array(*[F.lit(math.log((1 - EQUAL_SHARE) * v / sum(_ENGLISH) + EQUAL_SHARE / 26)) for v in _ENGLISH])
+    english = F.transform(places, lambda b: F.when(b >= 0, F.get(letters, b)))
+    other = F.transform(classes, lambda c: F.when(c == "0", F.lit(-math.log(10))).otherwise(F.lit(-math.log(4))))
+
+    def total(chances: Column) -> Column:
+        return F.aggregate(F.zip_with(chances, other, lambda a, b: F.coalesce(a, b)), F.lit(0.0), lambda a, v: a + v)
+
+    symbols_log = F.greatest(total(learned), total(english))
     return F.struct(
         x["start"].alias("start"), x["end"].alias("end"), encoding.alias("encoding"), digits.alias("digits"), n.alias("n"),
-        same.cast("double").alias("same"), k.alias("k"), turns.alias("turns"),
+        same.cast("double").alias("same"), k.alias("k"), turns.alias("turns"), symbols_log.alias("ordinary"),
     )
 
 
@@ -108,23 +144,28 @@ def _judged(x: Column) -> Column:
     z_serial = F.when(spread == 0, F.lit(10.0)).otherwise(F.aggregate(lagged, F.lit(0.0), lambda a, v: a + v) / spread * F.sqrt(n))
     upper = F.greatest(z_chi, F.lit(0.0))
     random = upper * upper + z_runs * z_runs + z_serial * z_serial <= BATTERY_LIMIT
-    # p-value of so many changes of class in an ordinary stretch: the longer the stretch, the further random ones stand out
-    change = F.coalesce(*[F.when(x["encoding"] == name, F.lit(c)) for name, (_, _, c) in ENCODINGS.items()])
-    p = _tail(-(x["turns"] - 0.5 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)))
+    # Chance of the stretch among ordinary ones (changes of class, then letters after letters), over its chance among random
+    # ones: by Markov's inequality no more than a share p of ordinary stretches has a quotient of p or less. Ordinary is what
+    # the corpus's words or English letters make likelier.
+    turn = F.coalesce(*[F.when(x["encoding"] == name, F.lit(math.log(c / o))) for name, (_, _, c, o) in ENCODINGS.items()])
+    stay = F.coalesce(*[F.when(x["encoding"] == name, F.lit(math.log(1 - c))) for name, (_, _, c, _) in ENCODINGS.items()])
+    log_p = x["ordinary"] + x["turns"] * turn + (n - 1 - x["turns"]) * stay + n * F.log(k)
     length_class = F.coalesce(*[F.when(n >= c, F.lit(c)) for c in reversed(LENGTH_CLASSES)])
     return F.struct(
         x["start"].alias("start"), x["end"].alias("end"),
         F.concat_ws(":", x["encoding"], length_class.cast("string")).alias("stratum"),
-        F.least(F.lit(MAX_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_PER_DECADE).cast("int")).alias("bin"),
+        F.least(F.lit(MAX_BIN), F.floor(F.greatest(-log_p / math.log(10), F.lit(0.0)) * BINS_PER_DECADE).cast("int")).alias("bin"),
         random.alias("random"),
     )
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", ordinary: list[float] | None = None) -> DataFrame:
     """``docs`` with ``secret_base``, the sorted spans of the fixed patterns, and ``secret_candidates``, judged stretches.
 
-    Row by row, no shuffle. Null texts count as empty; positions are code points of the whole text.
+    Row by row, no shuffle, once ``ordinary`` is learned by :func:`prose`, here if not given. Null texts count as empty;
+    positions are code points of the whole text.
     """
+    chances = F.array(*[F.lit(v) for v in (ordinary or prose(docs, text_col))])
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(_located(text, ASSIGN, 2), lambda x: F.length(x["group2"]) >= ASSIGN_VALUE_CHARS)
     base = F.array_sort(F.concat(_spans(assign, "assign"), _spans(_located(text, ACCESS), "access"), _spans(_located(text, HEX), "hex")))
@@ -132,7 +173,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("secret_found"),
         lambda x: ~F.exists(F.col("secret_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
-    inferred = F.filter(F.transform(apart, _battery), lambda x: x["encoding"].isNotNull())
+    inferred = F.filter(F.transform(apart, lambda x: _battery(x, chances)), lambda x: x["encoding"].isNotNull())
     out = docs.withColumn("secret_base", base).withColumn("secret_found", _located(text, CANDIDATE))
     return out.withColumn("secret_candidates", F.transform(inferred, _judged)).drop("secret_found")
 
@@ -188,11 +229,12 @@ def find(scanned: DataFrame, thresholds: dict[str, int]) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``MARK``; overlapping spans are replaced together. Keeps rows and columns.
 
-    Two passes over the texts: one counts candidates for the false-discovery control, one replaces. A column ``n_chars``
-    follows the new text.
+    Three passes over the texts: one draws those that teach ordinary letters, one counts candidates for the false-discovery
+    control, one replaces. A column ``n_chars`` follows the new text.
     """
     texts = docs.select(F.col(text_col).alias("text"))
-    limits = discovery_thresholds(scan(texts))
+    ordinary = prose(texts)
+    limits = discovery_thresholds(scan(texts, ordinary=ordinary))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     text = F.col("text")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -202,7 +244,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     redacted = F.aggregate(F.col("spans"), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    marked = scan(whole).withColumn("spans", spans(limits)).withColumn("clean", F.when(F.size("spans") > 0, redacted).otherwise(text))
+    marked = scan(whole, ordinary=ordinary).withColumn("spans", spans(limits)).withColumn("clean", F.when(F.size("spans") > 0, redacted).otherwise(text))
     columns = []
     for field in docs.schema:
         old = F.col("row")[field.name]
