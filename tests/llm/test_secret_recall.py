@@ -41,3 +41,18 @@ def test_small_alphabets_are_found(spark, texts):
     share = found(spark, texts, {"base32": UPPER + "234567", "hex": DIGITS + "ABCDEF", "base36": LOWER + DIGITS}, (20, 40))
     assert share.pop("ordinary") <= 0.01 and share.pop("text") <= 0.01
     assert min(share.values()) >= 0.75, share
+
+
+def test_letters_alone_are_found(spark, texts):
+    share = found(spark, texts, {"a-z": LOWER, "A-Z": UPPER, "A-Za-z": UPPER + LOWER}, (20, 40, 200))
+    assert share.pop("ordinary") <= 0.01 and share.pop("text") <= 0.01
+    assert min(v for (_, n), v in share.items() if n > 20) >= 0.85 and share["A-Za-z", 20] >= 0.75, share
+
+
+def test_every_candidate_is_tested(spark):
+    texts = ["a" * 20, "A" * 21, "aB" * 12, "a-b_" * 6, "1-2_" * 6, "A/1" * 8, "-" * 20, "1" * 20, "G1" * 10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = secrets.scan(df).selectExpr("size(secret_candidates) + size(secret_base) AS n").collect()
+    assert [x["n"] for x in sizes] == [1] * len(texts)
+    strata = secrets.scan(df).selectExpr("explode(secret_candidates) AS c").selectExpr("c.stratum", "c.bin", "c.random").collect()
+    assert all(":" in x["stratum"] and x["bin"] is not None and x["random"] is not None for x in strata)

@@ -23,13 +23,17 @@ ENCODINGS = {
     "hex": (r"^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef", 0.25, 1),
     "base32": (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.15, 1),
     "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.15, 1),
-    "base64": (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.3, 3),
+    "upper": (r"^[A-Z]+$", "abcdefghijklmnopqrstuvwxyz", 0.0, 1),
+    "lower": (r"^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.0, 1),
+    "letters": (r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.3, 1),
+    # whatever is left: three classes, or signs
+    "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.3, 3),
 }
 _CLASSED = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
 #: Lower ends of the length classes within which false discoveries are controlled.
 LENGTH_CLASSES = (20, 24, 32, 48, 64, 128)
 BINS_PER_DECADE, MAX_BIN = 10, 400
-#: Ordinary letter pairs are learned from so many texts at most, and from so many characters of each.
+#: Ordinary letter pairs are learned from about so many texts at most, and from so many characters of each.
 PROSE_TEXTS, PROSE_CHARS = 2000, 2000
 #: Weights of pair, letter and equal chances in an ordinary letter's probability: words may be joined or from elsewhere.
 PAIR_SHARE, LETTER_SHARE, EQUAL_SHARE = 0.6, 0.35, 0.05
@@ -69,11 +73,12 @@ def _spans(found: Column, kind: str) -> Column:
 def prose(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Logarithms of the chances of a letter after a letter, or after anything else: 27 rows of 26, learned from ordinary words.
 
-    Words have at most 19 letters, so candidates teach nothing. A bounded sample is drawn by hash; the driver gets at most
-    27 * 26 counts.
+    Words have at most 19 letters, so candidates teach nothing. About PROSE_TEXTS different texts are drawn by hash; the driver
+    gets at most 27 * 26 counts.
     """
-    some = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("draw"), F.substring(text_col, 1, PROSE_CHARS).alias("text"))
-    texts = some.orderBy("draw", "text").limit(PROSE_TEXTS)
+    share = PROSE_TEXTS / max(docs.count(), PROSE_TEXTS)
+    some = docs.select(F.xxhash64(text_col).alias("draw"), F.substring(text_col, 1, PROSE_CHARS).alias("text")).filter(F.col("text").isNotNull())
+    texts = some.filter(F.pmod("draw", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).dropDuplicates(["draw"])
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9+/_-]+"), lambda w: w.rlike("^[a-z]{2,19}$"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.concat(F.lit("."), F.col("word")), i, F.lit(2)))
     counts = texts.select(F.explode(words).alias("word")).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
@@ -94,7 +99,7 @@ def _battery(x: Column, ordinary: Column) -> Column:
     """What the tests of one candidate count: its digits, equal pairs, changes of class, and ordinary chance of its symbols."""
     encoding = F.coalesce(*[F.when(x["text"].rlike(p), F.lit(name)) for name, (p, *_) in ENCODINGS.items()])
     alphabet = F.coalesce(*[F.when(encoding == name, F.lit(a)) for name, (_, a, *_) in ENCODINGS.items()])
-    plain = F.when(encoding == "base64", F.translate(x["text"], "-_", "+/")).otherwise(F.lower(x["text"]))
+    plain = F.when(encoding == "base64", F.translate(x["text"], "-_", "+/")).when(encoding == "letters", x["text"]).otherwise(F.lower(x["text"]))
     symbols = F.array_remove(F.split(plain, ""), "")
     digits = F.transform(symbols, lambda c: F.position(c, alphabet) - 1)
     n = F.length(x["text"]).cast("double")
@@ -147,7 +152,7 @@ def _judged(x: Column) -> Column:
     # Chance of the stretch among ordinary ones (changes of class, then letters after letters), over its chance among random
     # ones: by Markov's inequality no more than a share p of ordinary stretches has a quotient of p or less. Ordinary is what
     # the corpus's words or English letters make likelier.
-    turn = F.coalesce(*[F.when(x["encoding"] == name, F.lit(math.log(c / o))) for name, (_, _, c, o) in ENCODINGS.items()])
+    turn = F.coalesce(*[F.when(x["encoding"] == name, F.lit(math.log(c / o) if c else 0.0)) for name, (_, _, c, o) in ENCODINGS.items()])
     stay = F.coalesce(*[F.when(x["encoding"] == name, F.lit(math.log(1 - c))) for name, (_, _, c, _) in ENCODINGS.items()])
     log_p = x["ordinary"] + x["turns"] * turn + (n - 1 - x["turns"]) * stay + n * F.log(k)
     length_class = F.coalesce(*[F.when(n >= c, F.lit(c)) for c in reversed(LENGTH_CLASSES)])
@@ -173,15 +178,15 @@ def scan(docs: DataFrame, text_col: str = "text", ordinary: list[float] | None =
         F.col("secret_found"),
         lambda x: ~F.exists(F.col("secret_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
-    inferred = F.filter(F.transform(apart, lambda x: _battery(x, chances)), lambda x: x["encoding"].isNotNull())
+    tested = F.transform(apart, lambda x: _battery(x, chances))
     out = docs.withColumn("secret_base", base).withColumn("secret_found", _located(text, CANDIDATE))
-    return out.withColumn("secret_candidates", F.transform(inferred, _judged)).drop("secret_found")
+    return out.withColumn("secret_candidates", F.transform(tested, _judged)).drop("secret_found")
 
 
 def discovery_thresholds(scanned: DataFrame) -> dict[str, int]:
     """Least p-value bin per stratum that the Benjamini-Hochberg rule admits, over all candidates of all rows.
 
-    Candidates are counted per stratum and bin before the shuffle: at most ``4 * 6 * (MAX_BIN + 1)`` rows, whatever the
+    Candidates are counted per stratum and bin before the shuffle: at most ``7 * 6 * (MAX_BIN + 1)`` rows, whatever the
     input; the driver gets one row per stratum.
     """
     one = scanned.select(F.explode("secret_candidates").alias("c"))
