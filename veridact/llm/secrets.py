@@ -16,8 +16,9 @@ ASSIGN_VALUE_CHARS = 6
 KINDS = ("assign", "access", "hex", "random")
 
 #: Stretches that the battery tests: 20 characters or more of an encoding's alphabet. A stretch of more than 491 characters is
-#: tested in windows of 472, the last of them 20 to 491 long, so that the work is linear in the stretch.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,491}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{472}"
+#: tested in windows of 472, the last of them 20 to 491 long, so that the work is linear in the stretch. A window begins where
+#: the stretch or the window before it does, so that no other place is tried.
+CANDIDATE = r"(?:(?<![A-Za-z0-9+/_-])|\G)(?:[A-Za-z0-9+/_-]{20,491}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{472})"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Inferred encoding: pattern of the whole window, alphabet in digit order, and how often, in an ordinary stretch of that
 #: look (words, names, numbers), a symbol is of another class (lower case, upper case, digit, sign) than the one before.
