@@ -52,3 +52,20 @@ def blocks_for(n_bytes: int, block_bytes: int) -> int:
 def files_for(n_bytes: int) -> int:
     """Files of some ten MB for what operators keep about ``n_bytes`` of text; it grows with the input."""
     return max(12, blocks_for(n_bytes, 64 << 20))
+
+
+#: Bits of the marks that tell which rows may take part in a join. The marks are broadcast: 2 MB, whatever the input.
+MARK_BITS = 1 << 24
+
+
+def may_hold(df: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """``df`` with ``may_hold``: whether ``others`` may have the row's key, a long; false only if it has not.
+
+    Keys of ``others`` set bits of a table of at most ``MARK_BITS / 64`` rows, which is broadcast, so that rows which take no
+    part in a join needn't move for it. With far more keys than bits, all rows may hold and all move. A null key is never held.
+    """
+    bit = F.pmod(F.col(key), F.lit(MARK_BITS))
+    marks = others.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("mark_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("mark_bits"))
+    found = df.withColumn("mark_word", F.shiftright(bit, 6)).join(F.broadcast(marks), "mark_word", "left")
+    is_set = F.expr(f"coalesce(shiftright(mark_bits, CAST(pmod(`{key}`, {MARK_BITS}) % 64 AS INT)) & 1, 0) = 1")
+    return found.withColumn("may_hold", is_set).drop("mark_word", "mark_bits")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import datetime
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridact.llm.common import materialize, shared_path
+from veridact.llm.common import may_hold, materialize, shared_path
 
 # The header fields of both ARC versions, in order, and the marks of the WARC format.
 ARC_FIELDS = {
@@ -23,8 +25,16 @@ ARC_FIELDS = {
 WARC_VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = b"\r\n\r\n"
+# Digits of a date that an ARC record may leave out.
+DATE_REST = "00010101000000"
+EPOCH = "1970-01-01T00:00:00Z"
 RECORDS_PER_ARC = 256
-RECORDS_PER_FILE = 2000
+#: Bytes of a WARC file, at most, but for its last record.
+FILE_BYTES = 16 << 20
+#: Bytes that the decompressor gets at a time.
+FEED = 64 << 10
+#: What closes a file: a gzip member without content.
+_CLOSE = gzip.compress(b"", mtime=0)
 
 
 class ArchiveError(ValueError):
@@ -123,14 +133,28 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         at = end + 1 + size
 
 
+def warc_date(date: str) -> str:
+    """An ARC date as a WARC date: what is left out begins its year, month or day; what isn't a date or time is left out.
+
+    Without a valid year it is the epoch.
+    """
+    for n in range(min(14, len(date)) // 2 * 2, 3, -2):
+        digits = date[:n] + DATE_REST[n:]
+        if digits.isascii() and digits.isdigit():
+            try:
+                return datetime.datetime.strptime(digits, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+            except ValueError:
+                continue
+    return EPOCH
+
+
 def convert(record: ArcRecord) -> WarcRecord:
     """The equivalent WARC record: identifier, timestamp, type and digests are derived from what the ARC record holds.
 
     The identifier depends on the record's header and payload only, so converting again gives the same one.
     """
     header, content = record.header, record.content
-    date = header["Archive-date"].ljust(14, "0")
-    stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    date, stamp = header["Archive-date"], warc_date(header["Archive-date"])
     http = split_http(content)
     if header["URL"].startswith("filedesc://"):
         name = header["URL"].removeprefix("filedesc://")
@@ -164,34 +188,61 @@ def as_revisit(record: WarcRecord, original_id: str, original_page: int) -> Warc
     return WarcRecord(headers, head)
 
 
-def read_warc(data: bytes) -> Iterator[WarcRecord]:
-    """Records of a WARC file, plain or gzipped in one or many members; declared lengths delimit them."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            stream = zlib.decompressobj(31)
-            parts.append(stream.decompress(data) + stream.flush())
-            data = stream.unused_data
-        data = b"".join(parts)
+def _decompressed(data: bytes) -> Iterator[bytes]:
+    """The bytes of plain or gzipped data, of one or many members, part by part."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
     while at < len(data):
-        end = data.find(RECORD_END, at)
-        if end < 0:
-            raise ArchiveError(f"no end of the headers at {at}")
-        first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ArchiveError(f"no record at {at}")
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.pop("Content-Length"))
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != RECORD_END:
-            raise ArchiveError(f"record at {at} isn't closed where its length says")
-        yield WarcRecord(headers, block)
-        at = end + 8 + size
+        stream = zlib.decompressobj(31)
+        while not stream.eof:
+            part = data[at : at + FEED]
+            if not part:
+                raise ArchiveError("compressed data end early")
+            out = stream.decompress(part)
+            at += len(part) - len(stream.unused_data)
+            if out:
+                yield out
+
+
+def _record_at(data: bytearray, at: int) -> tuple[WarcRecord, int] | None:
+    """The record that begins there and where it ends; None if it goes on beyond the data."""
+    end = data.find(RECORD_END, at)
+    if end < 0:
+        return None
+    first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ArchiveError(f"no record at {first[:40]!r}")
+    headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    begin = end + len(RECORD_END)
+    close = begin + int(headers.pop("Content-Length"))
+    if len(data) < close + len(RECORD_END):
+        return None
+    if data[close : close + len(RECORD_END)] != RECORD_END:
+        raise ArchiveError(f"{headers.get('WARC-Record-ID')} isn't closed where its length says")
+    return WarcRecord(headers, bytes(data[begin:close])), close + len(RECORD_END)
+
+
+def read_warc(data: bytes) -> Iterator[WarcRecord]:
+    """Records of a WARC file, plain or gzipped in one or many members; declared lengths delimit them.
+
+    Data are decompressed as records are taken, so that one record and one part are held at a time.
+    """
+    held = bytearray()
+    for part in _decompressed(data):
+        held += part
+        at = 0
+        while at < len(held) and (found := _record_at(held, at)):
+            record, at = found
+            yield record
+        del held[:at]
+    if held:
+        raise ArchiveError(f"the last record, {bytes(held[:40])!r}, has no end")
 
 
 def first_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to, payload): pages whose payload of at least ``min_bytes`` bytes a smaller id has too.
+    """(page_id, payload, refers_to): pages whose payload, named by its SHA-1, of ``min_bytes`` or more a smaller id has too.
 
     Digests are taken and written once; per digest, ids are reduced before the shuffle. Only digests move, not payloads.
     """
@@ -199,54 +250,68 @@ def first_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
     marked = materialize(pages.select(F.col(id_col).alias("page_id"), F.sha1(payload).alias("payload"), F.octet_length(payload).alias("size")), "digests")
     shared = marked.filter(F.col("size") >= min_bytes)
     least = shared.groupBy("payload").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return shared.join(least, "payload").filter("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return shared.join(least, "payload").filter("page_id > refers_to").select("page_id", "payload", "refers_to").distinct()
 
 
 def write_pages(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    min_bytes: int = 0, date: str = "20240101000000", records_per_file: int = RECORDS_PER_FILE,
+    min_bytes: int = 0, date: str = "20240101000000", file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write a WARC record for every row, by way of ARC: rows are put in ARC archives of both versions and converted.
 
-    Equal payloads of at least ``min_bytes`` bytes: the smallest id is a response, the others revisit it. Files are
-    gzipped and hold at most ``records_per_file`` records each. Null payloads are empty, null addresses ``about:blank``; a
-    row without id is a response; rows that repeat an id and payload are each a response or each a revisit.
+    Equal payloads of at least ``min_bytes`` bytes: the smallest id is a response, the others revisit it. Every record is
+    a gzip member, and a file is closed once it has ``file_bytes``. Null payloads are empty, null addresses
+    ``about:blank``; a row without id is a response; rows that repeat an id are judged each by its own payload, and of
+    rows that repeat both, each is a response or each a revisit. Payloads of pages that may be revisits move once; the
+    others stay where they are.
     """
-    revisits = first_pages(pages, id_col, payload_col, min_bytes)
-    source = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    source = source.join(revisits, "page_id", "left").select("page_id", "url", "payload", "refers_to")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    revisits = materialize(first_pages(pages, id_col, payload_col, min_bytes), "revisits")
+    source = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("content"))
+    marked = may_hold(source.withColumn("page_key", F.xxhash64("page_id")), "page_key", revisits.select(F.xxhash64("page_id").alias("page_key"))).drop("page_key")
+    some = marked.filter("may_hold").withColumn("payload", F.sha1("content")).join(revisits, ["page_id", "payload"], "left")
+    others = marked.filter("NOT may_hold").withColumn("refers_to", F.lit(None).cast(revisits.schema["refers_to"].dataType))
+    columns = ["page_id", "url", "content", "refers_to"]
+    ordered = some.select(*columns).union(others.select(*columns))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         chunk = 0
         for batch in batches:
             for at in range(0, batch.num_rows, RECORDS_PER_ARC):
                 rows = batch.slice(at, RECORDS_PER_ARC).to_pylist()
-                refers = {r["page_id"]: r["refers_to"] for r in rows if r["refers_to"] is not None}
                 arc = write_arc(((r["url"], date, "text/html", _message(r)) for r in rows), 1 + chunk % 2)
                 chunk += 1
-                out = []
-                for record in map(convert, read_arc(arc)):
-                    page = int(p) if (p := http_header(record.block[:200], "X-Page-Id")) is not None else None
-                    if page in refers:
+                for row, record in zip([None, *rows], map(convert, read_arc(arc))):
+                    if row is not None and row["refers_to"] is not None:
                         payload = record.headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        record = as_revisit(record, record_id(str(refers[page]), payload), refers[page])
-                    out.append(record.to_bytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        record = as_revisit(record, record_id(str(row["refers_to"]), payload), row["refers_to"])
+                    yield gzip.compress(record.to_bytes() + RECORD_END, mtime=0)
 
-    records = source.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    # The text sink writes each value's bytes as they are and closes it with what closes a WARC record.
-    records.write.option("lineSep", RECORD_END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for member in members(batches):
+            held.append(member)
+            size += len(member)
+            if size >= file_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
+
+    files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
+    # The text sink writes each value's bytes as they are and closes it with the line end, here an empty gzip member. One
+    # value is one file.
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", _CLOSE.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def _message(row: dict) -> bytes:
     page = f"X-Page-Id: {row['page_id']}\r\n" if row["page_id"] is not None else ""
-    return f"HTTP/1.1 200 OK\r\n{page}Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(row['payload'])}\r\n\r\n".encode() + row["payload"]
+    return f"HTTP/1.1 200 OK\r\n{page}Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(row['content'])}\r\n\r\n".encode() + row["content"]
 
 
 def read_pages(spark, path: str) -> DataFrame:
     """(page_id, uri, payload_bytes, payload_digest, record_type, refers_to) of every page in the WARC files below ``path``.
 
-    A file is read whole by one task; their bounded number of records bounds its memory.
+    A file is read by one task, record by record; its bounded size bounds the task's memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
