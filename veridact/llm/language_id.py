@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,21 +9,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of each language that the model learns from, at most; the bound on what the driver gathers.
+#: Documents of each language that the model learns from, about: the classifier's sample.
 SAMPLE_PER_LANGUAGE = 400
-SAMPLE_CHARS = 20_000
-#: Texts taken of a language that has none so short.
-LONG_TEXTS = 5
 SWITCH_PENALTY = 9.0
 TABLE_BITS = 17
 BATCH_CHARS = 6_000_000
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters, with the marks that belong to them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 # First code points of blocks by script, up to the next block.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -62,6 +60,19 @@ def _scripts(words: list[str]) -> np.ndarray:
     return _SCRIPT_OF[np.searchsorted(_STARTS, first, "right") - 1]
 
 
+def gram_counts(texts: list[str]) -> list[tuple[int, int]]:
+    """(place, occurrences) of the texts' trigrams, by slot of the table, and after these of their words by script."""
+    words = Counter(w for t in texts for w in LETTERS.findall(t.lower()))
+    if not words:
+        return []
+    keys = list(words)
+    weight = np.fromiter(words.values(), float, len(keys))
+    slots, starts = _grams(keys)
+    grams = np.bincount(slots, np.repeat(weight, np.diff([*starts, len(slots)])), 1 << TABLE_BITS)
+    found = np.concatenate([grams, np.bincount(_scripts(keys), weight, len(_NAMES))])
+    return [(int(k), int(found[k])) for k in np.flatnonzero(found)]
+
+
 @dataclass
 class LanguageModel:
     """Log-probabilities of hashed trigrams by language, and the languages that each script admits."""
@@ -73,18 +84,18 @@ class LanguageModel:
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> LanguageModel:
         """From (language, text) rows; their order doesn't matter."""
-        languages = sorted({lang for lang, _ in rows})
-        counts = np.zeros((1 << TABLE_BITS, max(1, len(languages))))
-        scripts = np.zeros((len(_NAMES), max(1, len(languages))))
-        for k, lang in enumerate(languages):
-            words = Counter(w for at, text in rows if at == lang for w in LETTERS.findall(text.lower()))
-            if words:
-                keys = list(words)
-                weight = np.fromiter(words.values(), float, len(keys))
-                slots, starts = _grams(keys)
-                per = np.diff([*starts, len(slots)])
-                counts[:, k] = np.bincount(slots, np.repeat(weight, per), 1 << TABLE_BITS)
-                scripts[:, k] = np.bincount(_scripts(keys), weight, len(_NAMES))
+        return cls.of([(lang, at, n) for lang, text in rows for at, n in gram_counts([text])])
+
+    @classmethod
+    def of(cls, seen: list[tuple[str, int, int]]) -> LanguageModel:
+        """From (language, place, occurrences): places are those of :func:`gram_counts`."""
+        languages = sorted({lang for lang, _, _ in seen})
+        known = {lang: k for k, lang in enumerate(languages)}
+        both = np.zeros(((1 << TABLE_BITS) + len(_NAMES), max(1, len(languages))))
+        if seen:
+            at = np.array([(place, known[lang]) for lang, place, _ in seen])
+            np.add.at(both, (at[:, 0], at[:, 1]), [n for _, _, n in seen])
+        counts, scripts = both[: 1 << TABLE_BITS], both[1 << TABLE_BITS :]
         smooth = 0.05
         total = counts.sum(0) + smooth * np.maximum(1, (counts.any(1)).sum())
         share = scripts / np.maximum(1, scripts.sum(0))
@@ -140,20 +151,29 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from rows where ``training`` holds and the language is known.
 
-    A classifier may see a bounded sample: of each language, about ``per_language`` rows chosen by a hash of the id (all,
-    if fewer), whole texts of at most ``SAMPLE_CHARS`` characters. A language that only has longer texts gives a few of those.
+    The classifier sees a sample: of each language, about ``per_language`` rows chosen by a hash of id and text (all, if
+    fewer), whole texts of any length. Their trigrams are counted where they are read; the driver gets counts only, at most
+    ``2 ** TABLE_BITS`` and one per script for each language.
     """
-    known = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    short = F.length(text_col) <= SAMPLE_CHARS
-    counts = known.groupBy(lang_col).agg(F.count_if(short).alias("short"), F.count("*").alias("n")).collect()
-    if not counts:
-        return LanguageModel.fit([])
-    share = F.coalesce(*[
-        F.when(F.col(lang_col) == r[lang_col], F.when(short, F.lit(min(1.0, per_language / r["short"]))).otherwise(F.lit(0.0)) if r["short"] else F.lit(min(1.0, LONG_TEXTS / r["n"])))
-        for r in sorted(counts, key=lambda r: str(r[lang_col]))
-    ])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return LanguageModel.fit([tuple(r) for r in known.filter(draw < share).select(lang_col, text_col).collect()])
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("draw"), training.alias("training"))
+    known = known.filter(F.col("training") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return LanguageModel.of([])
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(sizes.items(), key=str)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in dict.fromkeys(langs):
+                found = gram_counts([t for at, t in zip(langs, texts) if at == lang])
+                columns = [pa.array([lang] * len(found), batch.column(0).type), pa.array([k for k, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "n"])
+
+    lang_type = known.schema["lang"].dataType.simpleString()
+    some = known.filter(F.pmod("draw", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share).select("lang", "text")
+    seen = some.mapInArrow(count, f"lang {lang_type}, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    return LanguageModel.of([tuple(r) for r in seen.collect()])
 
 
 class _Labeller:
