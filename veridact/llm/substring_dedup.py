@@ -2,8 +2,8 @@
 
 Every window of ``WINDOW`` bytes has an anchor: of the ``ANCHOR``-byte strings inside it, the one whose hash is least. The
 anchor depends on the window's bytes only, so equal windows have equal anchors. Neighbouring windows share their
-anchor; such a run is named by its anchor and by a hash of all its bytes. Runs whose anchor occurs once can't repeat.
-Equal runs repeat as a whole. What is left, different runs around one anchor, is settled exactly from their bytes: their
+anchor; such a run is named by its anchor and by 128 bits of two independent hashes of all its bytes. Runs whose anchor occurs
+once can't repeat. Equal runs repeat as a whole and are folded into one before anything else. What is left, different runs around one anchor, is settled exactly from their bytes: their
 suffixes are ordered, and breadth-first backward extension on the Burrows-Wheeler transform finds all common prefixes
 in ascending length, stopping at the window's length.
 """
@@ -30,11 +30,13 @@ EXPAND_BYTES = 256 << 10
 HOT_RUNS = 4096
 #: Text per piece, which bounds a worker's memory, and text whose anchors a bucket holds.
 PIECE_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Pieces whose runs meet in one group, at most; of more, groups fold their equal runs first, level by level.
+FAN_IN = 4096
 RANGES, RUNS, WINDOWS = 0, 1, 2
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Base and values of the 256 bytes, for two independent hashes.
+_HASHES = tuple((base, np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for base, seed in ((_BASE, 20240229), (0xD1342543DE82EF95, 20240301)))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -44,15 +46,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Hashes:
-    """Polynomial hashes of any substring of one buffer."""
+    """Polynomial hashes of any substring of one buffer, by the first or second of two independent functions."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        powers = np.full(n, _BASE, np.uint64)
+    def __init__(self, data: np.ndarray, which: int = 0):
+        n, (base, values) = len(data), _HASHES[which]
+        powers = np.full(n, base, np.uint64)
         powers[:1] = 1
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * np.cumprod(powers), out=self.sums[1:])
-        back = np.full(n + 1, _INVERSE, np.uint64)
+        np.cumsum(values[data] * np.cumprod(powers), out=self.sums[1:])
+        back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
         back[0] = 1
         self.back = np.cumprod(back)
 
@@ -111,12 +113,13 @@ def find_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: i
         begin, mark = windows[edge], own[edge]
         seg = np.searchsorted(at, begin, "right") - 1
         whole = hashes.of(begin, begin + count + window - 1)
+        extra = _Hashes(part, 1).of(begin, begin + count + window - 1)
         whole = _mixed(whole + (mark - begin).astype(np.uint64) * np.uint64(1009) + count.astype(np.uint64))
         # least hashes are small numbers: mixed again, they spread over all buckets
         name = _mixed(gram[mark] ^ np.uint64(_BASE))
-        found.append((text[seg], begin - at[seg] + first[seg] - starts[text[seg]], count, name, whole))
-    kinds = (np.int32, np.int32, np.uint8, np.uint64, np.uint64)
-    names = ("row", "pos", "count", "anchor", "whole")
+        found.append((text[seg], begin - at[seg] + first[seg] - starts[text[seg]], count, name, whole, extra))
+    kinds = (np.int32, np.int32, np.uint8, np.uint64, np.uint64, np.uint64)
+    names = ("row", "pos", "count", "anchor", "whole", "extra")
     return {n: np.concatenate([f[k] for f in found]).astype(t) if found else np.zeros(0, t) for k, (n, t) in enumerate(zip(names, kinds))}
 
 
@@ -192,7 +195,7 @@ def repeated_windows(strings: list[bytes], counts: np.ndarray, window: int = WIN
 
 
 #: Columns of packed rows, in this order where they are present.
-_COLUMNS = (("row", "<i4"), ("pos", "<i4"), ("count", "u1"), ("anchor", "<u8"), ("whole", "<u8"), ("id", "<i8"), ("hot", "?"))
+_COLUMNS = (("row", "<i4"), ("pos", "<i4"), ("count", "u1"), ("anchor", "<u8"), ("whole", "<u8"), ("extra", "<u8"), ("id", "<i8"), ("hot", "?"))
 
 
 def _pack(tail: bytes = b"", **arrays: np.ndarray) -> bytes:
@@ -232,22 +235,46 @@ def _answer_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     })
 
 
-def _resolve(rows: pa.Table, hot_runs: int) -> list[tuple[int, int, bytes]]:
-    """Of a bucket's runs: those that an equal run precedes, and the first of each, where its anchor has others."""
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Of rows in the order of precedence: which are the first with their keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    first = np.zeros(len(order), bool)
+    first[order[new]] = True
+    return first
+
+
+def _met(rows: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A group's runs by anchor, digest and precedence, and which of them are the first of their digest."""
     runs = _joined(rows["blob"].to_pylist(), rows["place"].to_pylist())
-    order = np.lexsort((runs["pos"], runs["row"], runs["place"], runs["id"], runs["whole"], runs["anchor"]))
+    order = np.lexsort((runs["pos"], runs["row"], runs["place"], runs["id"], runs["extra"], runs["whole"], runs["anchor"]))
     runs = {k: v[order] for k, v in runs.items()}
-    n = len(order)
-    new_anchor = np.ones(n, bool)
+    return runs, _first(runs["extra"], runs["whole"], runs["anchor"])
+
+
+def _later(runs: dict[str, np.ndarray], holder: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: runs[k][~holder] for k in ("place", "row", "pos", "count")}
+
+
+def _fold(rows: pa.Table) -> list[tuple[int, int, bytes]]:
+    """Of a group's runs: those that an equal run precedes, settled, and the others as they came."""
+    runs, holder = _met(rows)
+    return [*_by_place(_later(runs, holder), RANGES), *_by_place({k: v[holder] for k, v in runs.items()}, rows["kind"][0].as_py())]
+
+
+def _resolve(rows: pa.Table, hot_runs: int) -> list[tuple[int, int, bytes]]:
+    """Of a bucket's runs: those that an equal run precedes, and the first of each, where its anchor has others."""
+    runs, holder = _met(rows)
+    new_anchor = np.ones(len(holder), bool)
     new_anchor[1:] = runs["anchor"][1:] != runs["anchor"][:-1]
-    holder = new_anchor.copy()
-    holder[1:] |= runs["whole"][1:] != runs["whole"][:-1]
     anchor_no = np.cumsum(new_anchor) - 1
     different = np.bincount(anchor_no[holder], minlength=anchor_no[-1] + 1)[anchor_no]
     mixed = holder & (different > 1)
-    later = {k: runs[k][~holder] for k in ("place", "row", "pos", "count")}
     need = {k: runs[k][mixed] for k in ("place", "row", "pos", "count", "anchor", "id")} | {"hot": different[mixed] > hot_runs}
-    return [*_by_place(later, RANGES), *_by_place(need, RUNS)]
+    return [*_by_place(_later(runs, holder), RANGES), *_by_place(need, RUNS)]
 
 
 def _expand(rows: pa.Table, window: int) -> list[tuple[int, int, bytes]]:
@@ -285,30 +312,33 @@ def _expand(rows: pa.Table, window: int) -> list[tuple[int, int, bytes]]:
 
 
 def _buffer(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, bytes of all texts in turn, and where each begins and how long it is. Rows by id, then as they stand."""
+    """Ranks, bytes of all texts in turn, and where each begins and how long it is."""
     texts = rows["text"].cast(pa.binary()).fill_null(b"").to_pylist()
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return rows["id"].to_numpy().astype(np.int64), np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes
+    return rows["rank"].to_numpy(), np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR,
-    piece_bytes: int = PIECE_BYTES, hot_runs: int = HOT_RUNS, with_text: bool = False,
+    piece_bytes: int = PIECE_BYTES, hot_runs: int = HOT_RUNS, fan_in: int = FAN_IN, with_text: bool = False,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
 
     Each byte goes that a string of ``window`` bytes covers which also starts earlier: in a row with a smaller id, or before
     in the same text. Strings are taken from the input, may overlap and never cross texts. ``kept`` holds the bytes that
-    stay. Null and empty texts have no bytes; rows that repeat an id are ordered by where they are stored, so of equal ones
-    the first keeps its bytes. The id is an integer and not null.
-
-    Texts move once, into blocks; what is shuffled is two hashes and a place per run of windows, some 22 bytes for 40
-    bytes of text, and the bytes of runs that share an anchor but differ. No group grows with the data: equal runs of a
-    piece are folded before the shuffle, and anchors with more than ``hot_runs`` different runs are settled by hashes of
-    single windows, dealt over all tasks.
+    stay. Null and empty texts have no bytes. The id is an integer; rows without one come last, and rows that share an
+    id, or have none, are ordered by a hash of their texts, so that only equal rows are interchangeable.
+
+    Texts move once, into blocks (once more, to be ordered, if ids repeat); what is shuffled is three hashes and a place
+    per run of windows, some 30 bytes for 40 bytes of text, and the bytes of runs that share an anchor but differ. Equal
+    runs of a piece are folded before the shuffle, and those of up to ``fan_in`` pieces before the next, so that a string
+    in every document costs a group ``fan_in`` entries, whatever the input; anchors with more than ``hot_runs`` different
+    runs are settled by 128-bit hashes of single windows, dealt over all tasks.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("rank", F.coalesce("id", F.lit((1 << 63) - 1)))
+    if rows.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        rows = rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"), "text").withColumn("rank", F.monotonically_increasing_id())
     table, name, total = B.pack(rows, "text", piece_bytes)
     n_buckets = blocks_for(total, BUCKET_BYTES)
     asked_schema, answer_schema = "kind int, bucket int, place long, blob binary", "place long, kind int, blob binary"
@@ -329,13 +359,11 @@ def remove_repeats(
         runs["id"] = ids[runs["row"]]
         order = np.lexsort((runs["pos"], runs["row"], runs["id"]))
         runs = {k: v[order] for k, v in runs.items()}
-        _, first = np.unique(_mixed(runs["anchor"]) + runs["whole"], return_index=True)
-        later = np.ones(len(order), bool)
-        later[first] = False
+        first = _first(runs["extra"], runs["whole"], runs["anchor"])
+        later = ~first
         if later.any():  # an equal run in this piece comes first
             yield batch_of([(RANGES, int(place % n_buckets), place, _pack(**{k: runs[k][later] for k in ("row", "pos", "count")}))])
-        first = np.sort(first)
-        if len(first):
+        if first.any():
             yield batch_of(list(packed(place, RUNS, {k: v[first] for k, v in runs.items()}, runs["anchor"][first])))
 
     def settle(rows: pa.Table) -> pa.Table:
@@ -344,7 +372,20 @@ def remove_repeats(
             return _answer_table(list(zip(rows["place"].to_pylist(), kinds, rows["blob"].to_pylist())))
         return _answer_table(_resolve(rows, hot_runs))
 
-    answers = B.ask(table, request, asked_schema).groupBy("kind", "bucket").applyInArrow(settle, answer_schema)
+    def folded(asked: DataFrame, kind: int) -> DataFrame:
+        def fold(rows: pa.Table) -> pa.Table:
+            if rows["kind"][0].as_py() != kind:
+                return rows.select(["kind", "bucket", "place", "blob"])
+            bucket = rows["bucket"][0].as_py()
+            return pa.Table.from_batches([batch_of([(k, bucket, place, blob) for place, k, blob in _fold(rows)])])
+
+        groups = -(-total // piece_bytes)
+        while groups > fan_in:
+            groups = -(-groups // fan_in)
+            asked = asked.groupBy("kind", "bucket", F.pmod(F.xxhash64("place"), F.lit(groups))).applyInArrow(fold, asked_schema)
+        return asked
+
+    answers = folded(B.ask(table, request, asked_schema), RUNS).groupBy("kind", "bucket").applyInArrow(settle, answer_schema)
     answers = materialize(answers, "runs", files_for(total))
 
     def fetch(place: int, rows: pa.Table, need: pa.Table) -> pa.Table:
@@ -368,16 +409,13 @@ def remove_repeats(
             count = runs["count"][hot].astype(np.int64)
             pos = np.repeat(runs["pos"][hot], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
             row = np.repeat(runs["row"][hot], count)
-            own = _window_hashes(data, starts[row] + pos, window)
-            windows = {"row": row, "pos": pos, "count": np.ones(len(pos), np.uint8), "anchor": own, "whole": own, "id": ids[row]}
+            own, extra = (_window_hashes(data, starts[row] + pos, window, which) for which in range(2))
+            windows = {"row": row, "pos": pos, "count": np.ones(len(pos), np.uint8), "anchor": own, "whole": own, "extra": extra, "id": ids[row]}
             order = np.lexsort((pos, row, windows["id"]))
             windows = {k: v[order] for k, v in windows.items()}
-            _, first = np.unique(windows["whole"], return_index=True)
-            later = np.ones(len(order), bool)
-            later[first] = False
-            if later.any():  # an equal window in this piece comes first
-                out.append((RANGES, int(place % n_buckets), place, _pack(**{k: windows[k][later] for k in ("row", "pos", "count")})))
-            first.sort()
+            first = _first(windows["extra"], windows["whole"])
+            if not first.all():  # an equal window in this piece comes first
+                out.append((RANGES, int(place % n_buckets), place, _pack(**{k: windows[k][~first] for k in ("row", "pos", "count")})))
             out += packed(place, WINDOWS, {k: v[first] for k, v in windows.items()}, windows["whole"][first])
         return pa.Table.from_batches([batch_of(out)])
 
@@ -388,8 +426,8 @@ def remove_repeats(
         return _answer_table([a for a in _resolve(rows, hot_runs) if a[1] == RANGES] if kind == WINDOWS else _expand(rows, window))
 
     need = answers.filter(F.col("kind") == RUNS)
-    compared = B.join_answers(table, need, fetch, asked_schema).groupBy("kind", "bucket").applyInArrow(compare, answer_schema)
-    compared = materialize(compared, "compared", files_for(total))
+    compared = folded(B.join_answers(table, need, fetch, asked_schema), WINDOWS).groupBy("kind", "bucket").applyInArrow(compare, answer_schema)
+    compared = materialize(compared.repartition(files_for(total)), "compared")  # small rows; their making keeps all its tasks
 
     def cut(place: int, rows: pa.Table, found: pa.Table) -> pa.Table:
         ids, data, starts, sizes = _buffer(rows)
@@ -419,12 +457,12 @@ def remove_repeats(
     return out.withColumnRenamed("id", id_col)
 
 
-def _window_hashes(data: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+def _window_hashes(data: np.ndarray, places: np.ndarray, window: int, which: int) -> np.ndarray:
     """Hashes of the windows at these places, chunk by chunk of the buffer."""
     out = np.zeros(len(places), np.uint64)
     chunk = places // CHUNK
     for c in np.unique(chunk):
         own = chunk == c
         at = places[own] - c * CHUNK
-        out[own] = _Hashes(data[c * CHUNK : (c + 1) * CHUNK + window]).of(at, at + window)
+        out[own] = _Hashes(data[c * CHUNK : (c + 1) * CHUNK + window], which).of(at, at + window)
     return out
