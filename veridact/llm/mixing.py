@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridact.llm.common import WORD
+from veridact.llm.common import WORD, materialize
 
 WEIGHT_CYCLE = 3
 MAX_RATE = 3
+#: Sources whose targets are broadcast, at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -44,13 +46,16 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with size, source_size, target and copies: floor(rate) plus one drawn copy.
 
     The rate is the target over the source's size; the draw compares the first 32 bits of md5(seed:id) with the rate's
-    fraction, so reruns and retried tasks agree. Sizes are summed per partition before the shuffle; the join moves one row per source.
+    fraction, so reruns and retried tasks agree. Sizes are summed per partition before the shuffle; the targets, one row
+    per source, are written once and broadcast up to ``BROADCAST_SOURCES``, so that documents stay where they are.
     Null texts have size 0; a null source is a source of its own; a null id draws as the text ``null``; repeated rows
     each count and draw alike. Columns of ``docs`` named like an added column are replaced.
     """
     added = ["size", "source_size", "target", "copies"]
     left = docs.drop(*added).withColumn("size", words(text_col))
-    right = source_targets(docs, text_col, source_col)
+    right = materialize(source_targets(docs, text_col, source_col), "targets")
+    if right.count() <= BROADCAST_SOURCES:
+        right = F.broadcast(right)
     joined = left.join(right, left[source_col].eqNullSafe(right["mix_source"]), "left").drop("mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
