@@ -76,3 +76,13 @@ def commit_refs(message: Column, most: int = 20) -> Column:
 def cvss_band(score: Column) -> Column:
     """Severity of a base score; null and anything outside 0..10 is unknown."""
     return F.when(score.isNull() | (score < 0) | (score > 10), F.lit("unknown")).when(score == 0, F.lit("none")).when(score < 4, F.lit("low")).when(score < 7, F.lit("medium")).when(score < 9, F.lit("high")).otherwise(F.lit("critical"))
+
+
+def collapsed(path: Column) -> Column:
+    """A relative path without ``.`` parts, empty parts, and ``..`` parts that undo a folder; null if it is absolute or leaves the tree."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    step = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: (
+        F.when((p == "..") & (F.size(out) > 0) & (F.element_at(out, -1) != ".."), F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(F.concat(out, F.array(p)))
+    ))
+    joined = F.array_join(step, "/")
+    return F.when(~path.startswith("/") & (joined != "") & ~joined.rlike(r"^\.\.(/|$)"), joined)

@@ -2,6 +2,7 @@
 
 from veridact.plans import (  # noqa: F401
     aggregate_queries,
+    decision_queries,
     domain_queries,
     find_queries,
     graph_queries,
@@ -10,6 +11,7 @@ from veridact.plans import (  # noqa: F401
     more_queries,
     ranking_queries,
     source_queries,
+    walk_queries,
 )
 from veridact.plans.registry import ORACLE, QUERIES
 

@@ -65,21 +65,6 @@ def agg06(spark, sf):
     return gaps.groupBy("user_id").agg(F.median("gap").alias("median_gap"))
 
 
-@query("agg07_co_change", """
-WITH d AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT l_suppkey, count(*) AS n FROM d GROUP BY 1),
-p AS (SELECT a.l_suppkey AS "left", b.l_suppkey AS "right", count(*) AS support FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT "left", "right", support, round(support / n, 6) AS confidence FROM p JOIN t ON p."left" = t.l_suppkey
-QUALIFY row_number() OVER (PARTITION BY "left" ORDER BY support DESC, "right") <= 3""")
-def agg07(spark, sf):
-    from veridact.operators.search import top_per_group
-
-    line = table(spark, sf, "lineitem")
-    pairs = J.co_members(line, "l_orderkey", "l_suppkey", most=1000)
-    totals = line.select("l_orderkey", "l_suppkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    both = A.pair_confidence(pairs, totals, "l_suppkey", "n", 3).withColumn("confidence", F.round("confidence", 6))
-    return top_per_group(both, ["left"], [F.col("support").desc(), F.col("right")], 3).drop("place")
-
-
 @query("agg08_closed_counts", """
 SELECT v AS value, count(e.event_type) AS n FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('retired'), ('null')) t(v) LEFT JOIN events e ON e.event_type = t.v GROUP BY 1""")
 def agg08(spark, sf):

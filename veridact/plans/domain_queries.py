@@ -81,13 +81,6 @@ def dom12(spark, sf):
     return found.filter("rule IS NOT NULL").select("event_id", F.col("rule").alias("verdict"))
 
 
-@query("dom16_independence", "SELECT DISTINCT o.o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_suppkey % 100 = o.o_custkey % 100)")
-def dom16(spark, sf):
-    actors = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_suppkey") % 100).alias("a"))
-    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("a"))
-    return orders.join(actors, ["o_orderkey", "a"], "left_semi").select("o_orderkey")
-
-
 @query("dom17_reviewed_units", "SELECT o_custkey, bool_and(o_orderstatus = 'F') AS reviewed, count(*) AS units FROM orders GROUP BY 1")
 def dom17(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_orderstatus") == "F").alias("reviewed"), F.count("*").alias("units"))
@@ -156,14 +149,6 @@ def dom35(spark, sf):
     return table(spark, sf, "documents").select("doc_id", L.first_true([(F.col("n_chars") <= 500, "whole"), (F.contains("text", F.lit("the")), "hinted")], "gap").alias("how"))
 
 
-@query("dom36_routing", """
-SELECT p_partkey, coalesce(a.persona, b.persona, 'generalist') AS persona FROM part LEFT JOIN (VALUES (10, 'memory'), (20, 'web')) a(k, persona) ON p_size = a.k LEFT JOIN (VALUES ('Brand#11', 'backend')) b(k, persona) ON p_brand = b.k""")
-def dom36(spark, sf):
-    a = spark.createDataFrame([(10, "memory"), (20, "web")], "p_size int, a string")
-    b = spark.createDataFrame([("Brand#11", "backend")], "p_brand string, b string")
-    return table(spark, sf, "part").join(a, "p_size", "left").join(b, "p_brand", "left").select("p_partkey", F.coalesce("a", "b", F.lit("generalist")).alias("persona"))
-
-
 @query("dom37_resume_plan", """
 SELECT a.user_id, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h = b.h THEN 'reuse' ELSE 'rerun' END AS plan FROM (SELECT user_id, md5(string_agg(DISTINCT event_type, ',' ORDER BY event_type)) AS h FROM events GROUP BY 1) a
 LEFT JOIN (SELECT user_id, md5(string_agg(DISTINCT event_type, ',' ORDER BY event_type)) AS h FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY 1) b USING (user_id)""")
@@ -184,16 +169,6 @@ def dom39(spark, sf):
     return c.join(s, "nation", "full_outer").select("nation", L.first_true([(F.col("s").isNull(), "unproduced"), (F.col("c").isNull(), "unregistered")], "ok").alias("state"))
 
 
-@query("dom40_retention", """
-WITH RECURSIVE e AS (SELECT p_brand AS src, p_type AS dst FROM part UNION SELECT p_type, 's' || p_size FROM part), k(node) AS (SELECT 'Brand#11' UNION SELECT dst FROM k JOIN e ON node = src)
-SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT node FROM k)""")
-def dom40(spark, sf):
-    part = table(spark, sf, "part")
-    edges = part.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst")).union(part.select("p_type", F.concat(F.lit("s"), "p_size"))).distinct()
-    kept = G.neighbourhood(edges, spark.createDataFrame([("Brand#11",)], "node string"), 100).select("node")
-    return edges.select(F.col("src").alias("node")).distinct().join(kept, "node", "left_anti")
-
-
 @query("dom41_posture", "SELECT c_mktsegment, CASE WHEN avg(c_acctbal) > 4500 THEN 'strong' WHEN avg(c_acctbal) > 4000 THEN 'fair' ELSE 'weak' END AS posture, count(*) AS n FROM customer GROUP BY 1")
 def dom41(spark, sf):
     g = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("a"), F.count("*").alias("n"))
@@ -238,19 +213,6 @@ def gr08(spark, sf):
     return G.neighbourhood(back, spark.createDataFrame([(150,)], "node long"), 64).select("node")
 
 
-@query("gr19_guard_decision", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < 0.03 AND l_discount >= 0.05 THEN 'bounds' WHEN l_tax < 0.03 THEN 'unknown' ELSE 'no' END AS guard FROM lineitem")
-def gr19(spark, sf):
-    rows = [((F.col("l_tax") < 0.03) & (F.col("l_discount") >= 0.05), "bounds"), (F.col("l_tax") < 0.03, "unknown")]
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", L.first_true(rows, "no").alias("guard"))
-
-
-@query("gr23_evidence_walk", "SELECT DISTINCT c_custkey, l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey")
-def gr23(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    hop = table(spark, sf, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "lineitem").join(hop, "l_orderkey").select("c_custkey", "l_partkey").distinct()
-
-
 @query("chg01_review_speed", """
 SELECT user_id, CASE WHEN bool_or(value < 5) THEN true WHEN count(*) FILTER (event_type = 'error') > 0 THEN NULL ELSE false END AS fast FROM events GROUP BY 1""")
 def chg01(spark, sf):
@@ -303,12 +265,6 @@ def lif07(spark, sf):
     return met.filter("u > s OR later > earlier").select("earlier", "later")
 
 
-@query("lif14_binding_tiers", "SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'symbol' WHEN user_id % 4 = 1 THEN 'build' WHEN user_id % 4 = 2 THEN 'revision' ELSE 'unbound' END AS tier FROM events")
-def lif14(spark, sf):
-    tier = F.get(F.array(*[F.lit(x) for x in ("symbol", "build", "revision", "unbound")]), (F.col("user_id") % 4).cast("int"))
-    return table(spark, sf, "events").select("event_id", tier.alias("tier"))
-
-
 @query("lif16_populations", "SELECT md5(event_type || '|' || (user_id % 10)) AS root_cause, count(*) AS n FROM events GROUP BY 1")
 def lif16(spark, sf):
     return table(spark, sf, "events").groupBy(F.md5(F.concat("event_type", F.lit("|"), F.col("user_id") % 10).cast("binary")).alias("root_cause")).agg(F.count("*").alias("n"))

@@ -40,11 +40,6 @@ def gr02(spark, sf):
     return G.neighbourhood(G.both_ways(_edges(spark, sf)), spark.createDataFrame([("n2",)], "node string"), 2)
 
 
-@query("gr03_callers", "SELECT DISTINCT n_name AS caller, r_name AS callee FROM nation JOIN region ON n_regionkey = r_regionkey")
-def gr03(spark, sf):
-    return table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("caller"), F.col("r_name").alias("callee")).distinct()
-
-
 @query("gr04_limited_walk", None)
 def gr04(spark, sf):
     """The first 40 nodes of a walk, level by level and by name; the bound shows in `expanded`."""
@@ -72,24 +67,6 @@ def gr13b(spark, sf):
     return G.reduction(_dag(spark, sf))
 
 
-@query("gr12_levels", f"""
-WITH RECURSIVE {DAG_SQL}, w(node, level) AS (SELECT DISTINCT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, level + 1 FROM w JOIN e ON w.node = e.src)
-SELECT node, max(level)::INT AS level FROM w GROUP BY 1""")
-def gr12(spark, sf):
-    return G.levels(_dag(spark, sf))[0]
-
-
-@query("gr17_components", """
-WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
-p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 1),
-w(node, seen) AS (SELECT a, a FROM p UNION SELECT w.node, p.b FROM w JOIN p ON w.seen = p.a)
-SELECT node, min(seen) AS component FROM w GROUP BY 1""")
-def gr17(spark, sf):
-    line = table(spark, sf, "lineitem")
-    pairs = J.co_members(line, "l_orderkey", "l_suppkey", most=1000).select(F.col("left").alias("src"), F.col("right").alias("dst")).distinct()
-    return G.components(pairs)
-
-
 @query("gr05_dominators", None)
 def gr05(spark, sf):
     """Immediate dominators of one small graph per part brand."""

@@ -149,14 +149,6 @@ def jn18(spark, sf):
     return child.join(parent, ["user_id", "parent_key"], "left").select("event_id", "parent")
 
 
-@query("jn19_pairs", """
-WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
-SELECT a.l_partkey AS "left", b.l_partkey AS "right", count(*) AS n FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2""")
-def jn19(spark, sf):
-    pairs = J.co_members(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", most=1000)
-    return pairs.groupBy("left", "right").agg(F.count("*").alias("n")).filter("n >= 2")
-
-
 @query("jn20_nominate", """
 WITH d AS (SELECT DISTINCT user_id, event_type, event_id // 20 AS e FROM events)
 SELECT DISTINCT a.user_id AS left_id, b.user_id AS right_id FROM d a JOIN d b ON a.e = b.e AND a.user_id < b.user_id AND a.event_type IS DISTINCT FROM b.event_type""")

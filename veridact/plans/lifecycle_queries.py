@@ -64,35 +64,6 @@ def lif08(spark, sf):
     return L.crosswalk(table(spark, sf, "events"), "user_id", rules)
 
 
-@query("lif09_decision_table", """
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'confirmed' WHEN o_orderstatus = 'P' THEN 'partial' WHEN o_orderpriority = '5-LOW' THEN 'dismissed' ELSE 'open' END AS outcome FROM orders""")
-def lif09(spark, sf):
-    status = F.col("o_orderstatus")
-    rows = [((status == "F") & (F.col("o_totalprice") > 200000), "confirmed"), (status == "P", "partial"), (F.col("o_orderpriority") == "5-LOW", "dismissed")]
-    return table(spark, sf, "orders").select("o_orderkey", L.first_true(rows, "open").alias("outcome"))
-
-
-@query("lif10_ship_block", """
-SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') > 0 THEN 'block' WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'review' ELSE 'ship' END AS decision FROM orders GROUP BY 1""")
-def lif10(spark, sf):
-    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O")).alias("u"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
-    return g.select("o_custkey", L.first_true([(F.col("u") > 0, "block"), (F.col("p") > 0, "review")], "ship").alias("decision"))
-
-
-@query("lif11_reachability", """
-WITH f AS (SELECT l_partkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
-SELECT p_partkey, CASE WHEN r > 0 THEN 'affected' WHEN n >= 20 THEN 'not_affected' ELSE 'under_investigation' END AS status FROM part LEFT JOIN f ON p_partkey = l_partkey""")
-def lif11(spark, sf):
-    f = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
-    status = L.first_true([(F.col("r") > 0, "affected"), (F.col("n") >= 20, "not_affected")], "under_investigation")
-    return table(spark, sf, "part").join(f, "p_partkey", "left").select("p_partkey", status.alias("status"))
-
-
-@query("lif12_publication_buckets", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS bucket FROM part")
-def lif12(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", L.first_true([(F.col("p_size") < 10, "small"), (F.col("p_size") < 30, "medium")], "large").alias("bucket"))
-
-
 @query("lif13_claim_merge", """
 SELECT sha256(l_partkey || '|' || l_suppkey) AS claim, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS preconditions FROM lineitem GROUP BY l_partkey, l_suppkey""")
 def lif13(spark, sf):
@@ -100,14 +71,6 @@ def lif13(spark, sf):
     return g.select(F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey").cast("binary"), 256).alias("claim"), F.array_join("preconditions", ",").alias("preconditions"))
 
 
-@query("lif15_elevation", """
-SELECT o_custkey, CASE WHEN max(CASE o_orderstatus WHEN 'P' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) = 2 AND count(DISTINCT o_orderpriority) >= 4 THEN 'high' WHEN count(*) > 12 THEN 'medium' ELSE 'low' END AS severity FROM orders GROUP BY 1""")
-def lif15(spark, sf):
-    worst = F.max(F.when(F.col("o_orderstatus") == "P", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0))
-    g = table(spark, sf, "orders").groupBy("o_custkey").agg(worst.alias("w"), F.count_distinct("o_orderpriority").alias("d"), F.count("*").alias("n"))
-    return g.select("o_custkey", L.first_true([((F.col("w") == 2) & (F.col("d") >= 4), "high"), (F.col("n") > 12, "medium")], "low").alias("severity"))
-
-
 @query("dom15_ab_side", "SELECT o_orderkey, (('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 2)::BIGINT AS side FROM orders")
 def dom15(spark, sf):
     h = F.conv(F.substring(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("long")

@@ -141,14 +141,6 @@ def ver05(spark, sf):
     return p.join(hits, "p_partkey", "left").select("p_partkey", F.least(c, F.lit(3)).cast("long").alias("advisories"), (c <= 3).alias("complete"))
 
 
-@query("jn27_include_closure", f"WITH {CALLS_SQL}, w AS (SELECT src AS unit, dst AS file FROM e WHERE src < 1000000000 UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src < 1000000000) SELECT unit, count(*) AS files FROM w GROUP BY 1")
-def jn27(spark, sf):
-    e = _calls(spark, sf)
-    direct = e.filter("src < 1000000000")
-    further = direct.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-    return direct.union(further).distinct().groupBy(F.col("src").alias("unit")).agg(F.count("*").alias("files"))
-
-
 @query("agg33_distances", f"""
 WITH RECURSIVE {CALLS_SQL}, w(node, d) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, d + 1 FROM w JOIN e ON node = src WHERE d < 3), m AS (SELECT node, min(d) AS d FROM w GROUP BY 1) SELECT d::INT AS distance, count(*) AS n FROM m GROUP BY 1""")
 def agg33(spark, sf):
@@ -207,20 +199,6 @@ def win20(spark, sf):
     return R.drop_contained(keyed, "chain", "key").select(F.col("key").alias("chain"))
 
 
-@query("gr14_unit_sizes", f"WITH {CALLS_SQL} SELECT src AS unit, count(*) AS direct FROM e GROUP BY 1")
-def gr14(spark, sf):
-    return _calls(spark, sf).groupBy(F.col("src").alias("unit")).agg(F.count("*").alias("direct"))
-
-
-@query("gr15_folded_owners", """
-SELECT c.c_custkey, coalesce(r.r_name, n.n_name) AS owner FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey % 2 = 0""")
-def gr15(spark, sf):
-    region = table(spark, sf, "region").select(F.col("r_regionkey").alias("fold"), "r_name")
-    nation = table(spark, sf, "nation").withColumn("fold", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey"))).join(region, "fold", "left")
-    owner = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.coalesce("r_name", "n_name").alias("owner"))
-    return table(spark, sf, "customer").join(owner, "c_nationkey").select("c_custkey", "owner")
-
-
 @query("gr21_alias_cross_check", """
 WITH p AS (SELECT l_partkey, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, CASE WHEN list_contains(p.s, (l_suppkey + 1)) THEN 'confirmed' ELSE 'refuted' END AS verdict FROM lineitem l JOIN p USING (l_partkey)""")
 def gr21(spark, sf):
@@ -291,13 +269,6 @@ def chg09(spark, sf):
     return c.groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("n", -F.col("l_suppkey"))).alias("owner"))
 
 
-@query("set07_parent_reduction", f"WITH {CALLS_SQL} SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.dst = b.src WHERE a.src = e.src AND b.dst = e.dst)")
-def set07(spark, sf):
-    e = _calls(spark, sf)
-    two = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).distinct()
-    return e.join(two, ["src", "dst"], "left_anti")
-
-
 @query("dom38_unique_claims", "SELECT page_id, CASE WHEN url LIKE 'https://%.com/%' THEN 'secure_com' WHEN url LIKE 'https://%' THEN 'secure' WHEN url LIKE 'http://%' THEN 'plain' END AS claim FROM pages")
 def dom38(spark, sf):
     url = F.col("url")

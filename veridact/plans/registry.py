@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Names of the supplied tables.
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The result of a SELECT over the supplied tables, which both engines read alike: what an operator is given."""
+    names = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql), **{t: table(spark, sf_dir, t) for t in names})
