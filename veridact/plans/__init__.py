@@ -2,6 +2,7 @@
 
 from veridact.plans import (  # noqa: F401
     aggregate_queries,
+    change_queries,
     decision_queries,
     domain_queries,
     find_queries,

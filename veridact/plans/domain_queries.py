@@ -213,22 +213,6 @@ def gr08(spark, sf):
     return G.neighbourhood(back, spark.createDataFrame([(150,)], "node long"), 64).select("node")
 
 
-@query("chg01_review_speed", """
-SELECT user_id, CASE WHEN bool_or(value < 5) THEN true WHEN count(*) FILTER (event_type = 'error') > 0 THEN NULL ELSE false END AS fast FROM events GROUP BY 1""")
-def chg01(spark, sf):
-    # three-valued: one known fast interval proves it; else one that isn't known leaves it open
-    known = F.when(F.col("event_type") != "error", F.col("value") < 5).otherwise(F.when(F.col("value") < 5, F.lit(True)))
-    g = table(spark, sf, "events").groupBy("user_id").agg(F.bool_or(known).alias("any"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("k"))
-    return g.select("user_id", F.when(F.col("any"), F.lit(True)).when(F.col("k") > 0, F.lit(None)).otherwise(F.lit(False)).alias("fast"))
-
-
-@query("chg05_test_churn", """
-SELECT p_brand, sum(p_size) FILTER (p_name LIKE 'blue%')::BIGINT AS tests, sum(p_size) FILTER (p_name NOT LIKE 'blue%')::BIGINT AS code FROM part GROUP BY 1""")
-def chg05(spark, sf):
-    test = F.col("p_name").startswith("blue")
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.sum(F.when(test, F.col("p_size"))).alias("tests"), F.sum(F.when(~test, F.col("p_size"))).alias("code"))
-
-
 @query("chg07_departed_owner", """
 WITH s AS (SELECT user_id % 20 AS unit, user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY 1, 2)
 SELECT unit, user_id AS owner, last < TIMESTAMP '2024-01-29' AS departed FROM s QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n DESC, user_id) = 1""")
@@ -238,12 +222,6 @@ def chg07(spark, sf):
     return top.select("unit", F.col("user_id").alias("owner"), (F.col("last") < F.expr("TIMESTAMP_NTZ '2024-01-29'")).alias("departed"))
 
 
-@query("chg10_rejected_records", "SELECT count(*) AS rows, count(*) FILTER (TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL) AS rejected FROM events")
-def chg10(spark, sf):
-    parsed = F.from_json("props", "k int", {"mode": "PERMISSIVE"})["k"]
-    return table(spark, sf, "events").agg(F.count("*").alias("rows"), F.count_if(parsed.isNull()).alias("rejected"))
-
-
 @query("lif05_canary", "SELECT event_type, abs(avg(value) FILTER (ts < TIMESTAMP '2024-01-15') - avg(value) FILTER (ts >= TIMESTAMP '2024-01-15')) > 0.5 AS drifted FROM events GROUP BY 1")
 def lif05(spark, sf):
     early = F.expr("ts < TIMESTAMP_NTZ '2024-01-15'")

@@ -121,16 +121,6 @@ def dom42(spark, sf):
     return g.groupBy("role").agg(F.sum("n").alias("turns"), F.count("*").alias("conversations"), F.round(F.sum("c") / F.sum("n"), 4).alias("mean_chars"))
 
 
-@query("ver01_semver_order", """
-SELECT p_partkey, row_number() OVER (ORDER BY p_size % 3, p_partkey % 10, p_size, (p_partkey % 2 = 0)::INT, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 7 END, p_partkey) AS place FROM part""")
-def ver01(spark, sf):
-    from veridact.operators.ranking import global_rank
-
-    text = F.concat(F.col("p_size") % 3, F.lit("."), F.col("p_partkey") % 10, F.lit("."), "p_size", F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("-rc."), F.col("p_partkey") % 7)).otherwise(F.lit("+build.1")))
-    rows = table(spark, sf, "part").select("p_partkey", V.version_key(text).alias("v"))
-    return global_rank(rows, [F.col("v"), F.col("p_partkey")], "place").select("p_partkey", "place")
-
-
 @query("ver02_range_sweep", """
 SELECT p_partkey, (p_size >= 10 AND p_size < 20) OR (p_size >= 30 AND p_size <= 40) AS affected FROM part""")
 def ver02(spark, sf):
@@ -165,19 +155,6 @@ def fn_month(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.add_months(F.col("o_orderdate").cast("date"), -6).cast("string").alias("start"))
 
 
-@query("chg03_off_hours", "SELECT event_id, dayofweek(ts) IN (0, 6) OR hour(ts) < 8 OR hour(ts) >= 18 AS off_hours FROM events")
-def chg03(spark, sf):
-    weekend = F.dayofweek("ts").isin(1, 7)
-    return table(spark, sf, "events").select("event_id", (weekend | (F.hour("ts") < 8) | (F.hour("ts") >= 18)).alias("off_hours"))
-
-
-@query("chg06_availability", """
-SELECT user_id, CASE WHEN count(v) = 0 THEN 'unavailable' WHEN count(v) < count(*) THEN 'partial' ELSE 'available' END AS state FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v FROM events) GROUP BY 1""")
-def chg06(spark, sf):
-    known = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.when(F.col("event_type") != "error", F.col("value"))).alias("k"), F.count("*").alias("n"))
-    return known.select("user_id", L.first_true([(F.col("k") == 0, "unavailable"), (F.col("k") < F.col("n"), "partial")], "available").alias("state"))
-
-
 @query("chg02_deployment", """
 SELECT e.event_id, min(p.ts) AS deployed_at FROM (SELECT * FROM events WHERE event_type = 'signup') e LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND p.ts >= e.ts GROUP BY 1""")
 def chg02(spark, sf):

@@ -131,16 +131,6 @@ def ver03(spark, sf):
     return table(spark, sf, "part").select("p_partkey", (listed | V.in_range(F.concat("p_size", F.lit(".0.0")), events)).alias("affected"))
 
 
-@query("ver05_package_match", """
-SELECT p_partkey, least(count(n_nationkey), 3) AS advisories, count(n_nationkey) <= 3 AS complete FROM part LEFT JOIN nation ON p_size > n_nationkey + 30 AND p_partkey % 5 = n_nationkey % 5 GROUP BY 1""")
-def ver05(spark, sf):
-    a = table(spark, sf, "nation").select((F.col("n_nationkey") % 5).cast("long").alias("k"), F.col("n_nationkey").alias("v"))
-    p = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 5).alias("k"))
-    hits = p.join(a, "k").filter("p_size > v + 30").groupBy("p_partkey").agg(F.count("*").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    return p.join(hits, "p_partkey", "left").select("p_partkey", F.least(c, F.lit(3)).cast("long").alias("advisories"), (c <= 3).alias("complete"))
-
-
 @query("agg33_distances", f"""
 WITH RECURSIVE {CALLS_SQL}, w(node, d) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, d + 1 FROM w JOIN e ON node = src WHERE d < 3), m AS (SELECT node, min(d) AS d FROM w GROUP BY 1) SELECT d::INT AS distance, count(*) AS n FROM m GROUP BY 1""")
 def agg33(spark, sf):
