@@ -3,6 +3,7 @@
 from veridact.plans import (  # noqa: F401
     aggregate_queries,
     change_queries,
+    code_queries,
     decision_queries,
     domain_queries,
     find_queries,

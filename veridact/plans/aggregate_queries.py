@@ -192,13 +192,6 @@ def agg23(spark, sf):
     return table(spark, sf, "lineitem").agg(F.sum("l_quantity").cast("long").alias("lines"), F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("sources"), F.round(F.count_if(F.col("l_returnflag") == "R") / F.count("*"), 8).alias("rate"))
 
 
-@query("agg24_file_summary", """
-SELECT p_brand, sum(p_size)::BIGINT AS total, max(p_size) AS most, round(avg(p_size), 6) AS mean, round(count(*) FILTER (p_size > 40) / count(*), 6) AS above FROM part GROUP BY 1""")
-def agg24(spark, sf):
-    s = F.col("p_size")
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.sum(s).alias("total"), F.max(s).alias("most"), F.round(F.avg(s), 6).alias("mean"), F.round(F.count_if(s > 40) / F.count("*"), 6).alias("above"))
-
-
 @query("agg25_duplicate_groups", """
 WITH g AS (SELECT *, CASE WHEN value > 50 THEN 'v:' || floor(value)::BIGINT ELSE 't:' || event_type END AS key FROM events)
 SELECT user_id, key, min_by(event_id, struct_pack(p := CASE event_type WHEN 'error' THEN 0 ELSE 1 END, e := event_id)) AS canonical, count(*) AS members FROM g GROUP BY 1, 2 HAVING count(*) > 1""")

@@ -181,13 +181,6 @@ def dom43(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count_if(a & b).alias("both_hit"), F.count_if(a & ~b).alias("first_only"), F.count_if(~a & b).alias("second_only"))
 
 
-@query("dom45_slice_composition", """
-SELECT l_orderkey, l_linenumber % 3 AS line, max_by(l_returnflag, struct_pack(q := l_quantity, n := -l_linenumber, p := l_partkey, f := l_returnflag)) AS reason, count(*) AS contributions FROM lineitem GROUP BY 1, 2""")
-def dom45(spark, sf):
-    best = F.max_by("l_returnflag", F.struct("l_quantity", -F.col("l_linenumber"), "l_partkey", "l_returnflag"))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 3).alias("line")).agg(best.alias("reason"), F.count("*").alias("contributions"))
-
-
 @query("dom48_summaries", "SELECT event_id, CASE event_type WHEN 'error' THEN 'user ' || user_id || ' failed' ELSE event_type || ' by ' || user_id END AS summary FROM events")
 def dom48(spark, sf):
     failed = F.format_string("user %d failed", "user_id")
