@@ -6,6 +6,7 @@ from veridact.plans import (  # noqa: F401
     code_queries,
     decision_queries,
     domain_queries,
+    evidence_queries,
     find_queries,
     graph_queries,
     join_queries,

@@ -171,13 +171,6 @@ def jn21(spark, sf):
     return J.tiered_match(prior, current, "id", [("exact", "exact"), ("relocated", "moved")])
 
 
-@query("jn22_templates", """
-SELECT e.event_id, t.template FROM events e JOIN (VALUES ('click', 0, 'spoof'), ('click', 1, 'tamper'), ('error', 0, 'deny')) t(event_type, parity, template) ON e.event_type = t.event_type AND e.user_id % 2 = t.parity""")
-def jn22(spark, sf):
-    templates = spark.createDataFrame([("click", 0, "spoof"), ("click", 1, "tamper"), ("error", 0, "deny")], "event_type string, parity long, template string")
-    return table(spark, sf, "events").withColumn("parity", F.col("user_id") % 2).join(templates, ["event_type", "parity"]).select("event_id", "template")
-
-
 @query("jn23_alias", """
 WITH s AS (SELECT user_id, list(DISTINCT event_type) AS t, count(*) AS n FROM events GROUP BY 1)
 SELECT a.user_id, CASE WHEN list_has_any(a.t, ['error', 'signup']) THEN 'may' WHEN a.n > 60 THEN 'no' ELSE 'unknown' END AS alias FROM s a""")

@@ -24,12 +24,6 @@ def _calls(spark, sf):
     return bought.union(line.filter("l_returnflag = 'R'").select(supplier, F.col("l_partkey") + 2_000_000_000)).distinct()
 
 
-@query("src05_wanted_paths", "SELECT page_id, url FROM pages WHERE page_id IN (SELECT p_partkey FROM part WHERE p_size = 3)")
-def src05(spark, sf):
-    wanted = table(spark, sf, "part").filter("p_size = 3").select(F.col("p_partkey").alias("page_id"))
-    return table(spark, sf, "pages").join(wanted, "page_id", "left_semi").select("page_id", "url")
-
-
 @query("src25_clang_cfg", "SELECT 'f' || n_nationkey AS function, '2' AS src, '1' AS dst FROM nation UNION ALL SELECT 'f' || n_nationkey, '1', '0' FROM nation")
 def src25(spark, sf):
     text = F.concat(F.lit("int f"), "n_nationkey", F.lit("(int x)\n [B2 (ENTRY)]\n   Succs (1): B1\n [B1]\n   1: x\n   Succs (2): B0 B3(Unreachable)\n [B0 (EXIT)]\n   Preds (1): B1\n"))

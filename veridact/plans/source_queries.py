@@ -111,11 +111,6 @@ def src17(spark, sf):
     return history.hunks(_lines(head.union(body), "p_partkey", ["p_partkey", "k"], F.col("v")))
 
 
-@query("src18_first_seen_pages", "SELECT conv_id, min(turn) AS first_turn, count(*) AS rows FROM conversations GROUP BY 1")
-def src18(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count("*").alias("rows"))
-
-
 @query("src20_score_checks", "SELECT user_id, round(avg(value) / 1000, 6) AS epss, count(*) AS n FROM events GROUP BY 1")
 def src20(spark, sf):
     from veridact.operators.evidence import refuse

@@ -54,3 +54,10 @@ def write_json_cells(df: DataFrame, path: str) -> None:
     cell = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
     filled = [F.when(F.col(f"`{c}`").isNull(), F.lit("null")).otherwise(cell(c)).alias(c) for c in df.columns]
     df.select(*filled).write.option("header", True).option("escape", '"').csv(path)
+
+
+def hashed(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, rows) of the line files below a path, digested where they are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    lines = F.octet_length("content") - F.octet_length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
+    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha256"), lines.cast("long").alias("rows"))
