@@ -8,6 +8,7 @@ from veridact.plans import (  # noqa: F401
     domain_queries,
     evidence_queries,
     find_queries,
+    finding_queries,
     graph_queries,
     join_queries,
     lifecycle_queries,

@@ -115,16 +115,6 @@ def agg13(spark, sf):
     return shares.select("member", F.round("share", 2).alias("share"))
 
 
-@query("agg14_confusion", """
-SELECT lang, source, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn
-FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source))""")
-def agg14(spark, sf):
-    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
-    cells = {"tp": (1, 0), "fp": (1, 1), "fn": (0, 0), "tn": (0, 1)}
-    lang, source = F.col("lang"), F.col("source")
-    return rows.groupingSets([[], [lang], [source]], lang, source).agg(*[F.count_if((F.col("quality") == q) & (F.col("toxic") == t)).alias(n) for n, (q, t) in cells.items()])
-
-
 @query("agg15_miss_rate", """
 SELECT lang, count(*) AS audited, count(*) FILTER (toxic = 1) AS missed, round(count(*) FILTER (toxic = 1) / count(*), 6) AS miss_rate FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1""")
 def agg15(spark, sf):
@@ -174,14 +164,6 @@ def agg20(spark, sf):
         F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min_by("event_id", F.md5(F.col("event_id").cast("string").cast("binary"))).alias("first_report"))
 
 
-@query("agg21_dependency_merge", """
-SELECT p_brand, p_type, bool_or(p_size > 45) AS direct, min_by(p_name, p_partkey) FILTER (p_size > 10) AS name, max(p_size)::INT AS exposure, list_aggregate(list_sort(list(DISTINCT p_size)), 'string_agg', ',') AS aliases FROM part GROUP BY 1, 2""")
-def agg21(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand", "p_type").agg(
-        F.bool_or(F.col("p_size") > 45).alias("direct"), F.min_by(F.when(F.col("p_size") > 10, F.col("p_name")), F.when(F.col("p_size") > 10, F.col("p_partkey"))).alias("name"),
-        F.max("p_size").alias("exposure"), F.array_join(F.transform(F.array_sort(F.collect_set("p_size")), lambda x: x.cast("string")), ",").alias("aliases"))
-
-
 @query("agg22_casefold_dedupe", "SELECT lower(n_name) AS key, min(n_nationkey) AS first_key, count(*) AS n FROM nation GROUP BY 1 ORDER BY 1 LIMIT 10")
 def agg22(spark, sf):
     return table(spark, sf, "nation").groupBy(F.lower("n_name").alias("key")).agg(F.min("n_nationkey").alias("first_key"), F.count("*").alias("n")).orderBy("key").limit(10)
@@ -192,15 +174,6 @@ def agg23(spark, sf):
     return table(spark, sf, "lineitem").agg(F.sum("l_quantity").cast("long").alias("lines"), F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("sources"), F.round(F.count_if(F.col("l_returnflag") == "R") / F.count("*"), 8).alias("rate"))
 
 
-@query("agg25_duplicate_groups", """
-WITH g AS (SELECT *, CASE WHEN value > 50 THEN 'v:' || floor(value)::BIGINT ELSE 't:' || event_type END AS key FROM events)
-SELECT user_id, key, min_by(event_id, struct_pack(p := CASE event_type WHEN 'error' THEN 0 ELSE 1 END, e := event_id)) AS canonical, count(*) AS members FROM g GROUP BY 1, 2 HAVING count(*) > 1""")
-def agg25(spark, sf):
-    key = F.when(F.col("value") > 50, F.concat(F.lit("v:"), F.floor("value"))).otherwise(F.concat(F.lit("t:"), "event_type"))
-    order = F.struct(F.when(F.col("event_type") == "error", 0).otherwise(1).alias("p"), "event_id")
-    return table(spark, sf, "events").groupBy("user_id", key.alias("key")).agg(F.min_by("event_id", order).alias("canonical"), F.count("*").alias("members")).filter("members > 1")
-
-
 @query("agg26_menu", """
 WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY lang) AS total FROM documents)
 SELECT lang, (n - 1) // 100 AS part, string_agg(doc_id::VARCHAR, ',' ORDER BY n) AS members, CASE WHEN (n - 1) // 100 < (max(total) - 1) // 100 THEN (n - 1) // 100 + 1 END AS next_part FROM r GROUP BY lang, (n - 1) // 100""")
@@ -290,13 +263,6 @@ def agg39(spark, sf):
     return A.agreeing(table(spark, sf, "lineitem"), ["l_orderkey"], "l_returnflag")
 
 
-@query("agg40_detector_scores", """
-SELECT event_type AS rule, count(*) FILTER (value > 60 AND user_id % 2 = 0) AS tp, count(*) FILTER (value > 60 AND user_id % 2 = 1) AS fp, count(*) FILTER (value <= 60 AND user_id % 2 = 0) AS fn FROM events GROUP BY 1""")
-def agg40(spark, sf):
-    hot, even = F.col("value") > 60, F.col("user_id") % 2 == 0
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("rule")).agg(F.count_if(hot & even).alias("tp"), F.count_if(hot & ~even).alias("fp"), F.count_if(~hot & even).alias("fn"))
-
-
 @query("q1_pricing_summary", """
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")

@@ -18,11 +18,6 @@ def dom01(spark, sf):
     return table(spark, sf, "events").select("event_id", found.alias("class"))
 
 
-@query("dom02_sink_class", r"SELECT p_partkey, CASE regexp_replace(p_type, '^(SMALL|LARGE) ?', '') WHEN 'BRASS' THEN 'metal' ELSE 'other' END AS sink FROM part")
-def dom02(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.when(F.regexp_replace("p_type", "^(SMALL|LARGE) ?", "") == "BRASS", F.lit("metal")).otherwise(F.lit("other")).alias("sink"))
-
-
 @query("dom05_token_classes", r"""
 WITH t AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM benchmark)
 SELECT item_id, pos::INT AS pos, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'capital' WHEN regexp_matches(w, '[.,]$') THEN 'ending' ELSE 'word' END AS class FROM t""")
@@ -47,22 +42,6 @@ def dom07(spark, sf):
     return table(spark, sf, "pages").select("page_id", host.alias("host"), host.endswith(".com").alias("allowed"))
 
 
-@query("dom08_maximal_exposure", """
-SELECT o_custkey, coalesce((['test', 'dev', 'prod'])[max(CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '1-URGENT' THEN 3 END)], 'prod') AS exposure FROM orders GROUP BY 1""")
-def dom08(spark, sf):
-    rank = F.when(F.col("o_orderpriority") == "5-LOW", 1).when(F.col("o_orderpriority") == "3-MEDIUM", 2).when(F.col("o_orderpriority") == "1-URGENT", 3)
-    names = F.array(F.lit("test"), F.lit("dev"), F.lit("prod"))
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(rank).alias("r")).select("o_custkey", F.coalesce(F.get(names, F.col("r") - 1), F.lit("prod")).alias("exposure"))
-
-
-@query("dom09_continuity", """
-SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(DISTINCT c_nationkey) = 1""")
-def dom09(spark, sf):
-    line = table(spark, sf, "lineitem").select("l_partkey", F.col("l_orderkey").alias("o_orderkey"))
-    chain = line.join(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
-    return chain.groupBy("l_partkey").agg(F.count_distinct("c_nationkey").alias("n")).filter("n = 1").select("l_partkey")
-
-
 @query("dom10_context_by_file", "SELECT l_partkey, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS suppliers FROM lineitem GROUP BY 1")
 def dom10(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("s"))
@@ -118,13 +97,6 @@ def dom24(spark, sf):
     return rows.groupBy("source").agg(strict_sum(F.col("toxic")).alias("toxic"))
 
 
-@query("dom29_expectations", "SELECT n_name, e.flag, bool_or(c.c_mktsegment IS NOT NULL) AS met FROM nation n CROSS JOIN (VALUES ('BUILDING'), ('MACHINERY')) e(flag) LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_mktsegment = e.flag GROUP BY 1, 2")
-def dom29(spark, sf):
-    expected = table(spark, sf, "nation").select("n_nationkey", "n_name", F.explode(F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).alias("flag"))
-    seen = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("flag"), F.lit(True).alias("met")).distinct()
-    return expected.join(seen, ["n_nationkey", "flag"], "left").select("n_name", "flag", F.coalesce("met", F.lit(False)).alias("met"))
-
-
 @query("dom30_promotion", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'promote' WHEN l_returnflag = 'R' THEN 'watch' ELSE 'drop' END AS class FROM lineitem")
 def dom30(spark, sf):
     r = F.col("l_returnflag") == "R"

@@ -23,16 +23,6 @@ def jn01(spark, sf):
     return table(spark, sf, "customer").join(nation, "c_nationkey", "left").join(supplier, "c_nationkey", "left").select("c_custkey", "n_name", "s_name")
 
 
-@query("jn02_key_by_scope", """
-SELECT o.o_orderkey, CASE WHEN o.o_orderstatus = 'F' THEN p.q ELSE c.c_acctbal END AS signal
-FROM orders o LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) p ON o.o_orderkey = p.l_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
-def jn02(spark, sf):
-    sums = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"))
-    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
-    joined = table(spark, sf, "orders").join(sums, "o_orderkey", "left").join(customer, "o_custkey", "left")
-    return joined.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("q")).otherwise(F.col("c_acctbal")).alias("signal"))
-
-
 @query("jn03_composite_key", """
 SELECT a.l_orderkey, a.l_linenumber, count(b.l_orderkey) AS n FROM lineitem a LEFT JOIN lineitem b
   ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_returnflag = b.l_returnflag AND b.l_quantity > 25 GROUP BY a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey""")
@@ -205,15 +195,6 @@ def jn26(spark, sf):
     return line.select("l_orderkey", "l_linenumber", "p_brand", "s_name", "n_name", "r_name")
 
 
-@query("jn28_diagnostics", """
-SELECT o.o_orderkey, count(l.l_orderkey) AS n, count(l.l_orderkey) > 0 AS corroborated FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_linenumber BETWEEN 2 AND 3 AND l.l_returnflag = o.o_orderstatus
-GROUP BY o.o_orderkey""")
-def jn28(spark, sf):
-    line = table(spark, sf, "lineitem").filter("l_linenumber BETWEEN 2 AND 3").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus")).agg(F.count("*").alias("m"))
-    joined = table(spark, sf, "orders").join(line, ["o_orderkey", "o_orderstatus"], "left")
-    return joined.groupBy("o_orderkey").agg(F.sum(F.coalesce("m", F.lit(0))).alias("n")).withColumn("corroborated", F.col("n") > 0)
-
-
 @query("jn29_as_of", """
 SELECT e.event_id, p.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p
 ON e.user_id = p.user_id AND e.ts > p.ts""")

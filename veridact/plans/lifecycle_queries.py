@@ -105,16 +105,6 @@ def dom23(spark, sf):
     return table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", F.explode(F.array(F.lit("defect"), F.lit("control"))).alias("role"))
 
 
-@query("dom31_rule_scan", r"""
-WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM benchmark)
-SELECT item_id, no::INT AS line, r.name AS rule FROM l JOIN (VALUES ('starts_upper', '^[A-Z]'), ('has_comma', ',')) r(name, p) ON regexp_matches(line, r.p)""")
-def dom31(spark, sf):
-    lines = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    rules = (("starts_upper", "^[A-Z]"), ("has_comma", ","))
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in rules]))
-    return lines.select("item_id", (F.col("at") + 1).alias("line"), F.explode(hits).alias("rule"))
-
-
 @query("dom42_role_outcomes", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 4) AS mean_chars FROM conversations GROUP BY 1")
 def dom42(spark, sf):
     g = table(spark, sf, "conversations").groupBy("role", "conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))

@@ -253,12 +253,6 @@ def chg09(spark, sf):
     return c.groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("n", -F.col("l_suppkey"))).alias("owner"))
 
 
-@query("dom38_unique_claims", "SELECT page_id, CASE WHEN url LIKE 'https://%.com/%' THEN 'secure_com' WHEN url LIKE 'https://%' THEN 'secure' WHEN url LIKE 'http://%' THEN 'plain' END AS claim FROM pages")
-def dom38(spark, sf):
-    url = F.col("url")
-    return table(spark, sf, "pages").select("page_id", F.when(url.like("https://%.com/%"), F.lit("secure_com")).when(url.like("https://%"), F.lit("secure")).when(url.like("http://%"), F.lit("plain")).alias("claim"))
-
-
 @query("dom44_role_scores", "SELECT source, round(count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (quality = 1), 0), 6) AS precision, round(count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (toxic = 0), 0), 6) AS recall FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def dom44(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")

@@ -137,27 +137,3 @@ SELECT l_partkey, round(max(own), 6) AS top_share, min(place) FILTER (reached >=
 def win15(spark, sf):
     shares = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     return R.bus_factor(shares, ["l_partkey"], "l_suppkey", "q", 0.5).withColumn("bus_factor", F.col("bus_factor").cast("long"))
-
-
-@query("win16_tiered_sort", """
-SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 1 WHEN o_orderpriority = '1-URGENT' THEN 2 WHEN o_totalprice > 300000 THEN 3 ELSE 8 END AS tier FROM orders
-ORDER BY tier, o_totalprice DESC, o_orderkey LIMIT 100""")
-def win16(spark, sf):
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    tier = F.when(urgent & (F.col("o_orderstatus") == "O"), 1).when(urgent, 2).when(F.col("o_totalprice") > 300000, 3).otherwise(8)
-    return table(spark, sf, "orders").withColumn("tier", tier).orderBy("tier", F.col("o_totalprice").desc(), "o_orderkey").limit(100).select("o_orderkey", "tier")
-
-
-@query("win17_points_rank", "SELECT p_partkey, (p_size * 3 + CASE WHEN p_type LIKE '%STEEL' THEN 40 ELSE 0 END)::INT AS points FROM part ORDER BY points DESC, p_partkey LIMIT 50")
-def win17(spark, sf):
-    points = F.col("p_size") * 3 + F.when(F.col("p_type").endswith("STEEL"), 40).otherwise(0)
-    return table(spark, sf, "part").select("p_partkey", points.alias("points")).orderBy(F.col("points").desc(), "p_partkey").limit(50)
-
-
-@query("win19_interleave", """
-WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_type IN ('error', 'purchase'))
-SELECT event_id, row_number() OVER (ORDER BY n, event_type) AS turn FROM r ORDER BY n, event_type LIMIT 200""")
-def win19(spark, sf):
-    lanes = table(spark, sf, "events").filter(F.col("event_type").isin("error", "purchase"))
-    placed = lanes.withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).orderBy("n", "event_type").limit(200)
-    return placed.select("event_id", F.row_number().over(Window.orderBy("n", "event_type")).cast("long").alias("turn"))
