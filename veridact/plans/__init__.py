@@ -14,6 +14,7 @@ from veridact.plans import (  # noqa: F401
     lifecycle_queries,
     more_queries,
     ranking_queries,
+    report_queries,
     source_queries,
     walk_queries,
 )

@@ -133,14 +133,6 @@ def agg16(spark, sf):
     return rows.groupBy("source").agg(F.round(F.avg("quality"), 6).alias("precision"), F.round(F.avg(F.when(F.col("place") <= 10, F.col("quality"))), 6).alias("at_10"))
 
 
-@query("agg17_volume", """
-SELECT source, count(*) AS volume, round(1 - count(DISTINCT md5(text)) / count(*), 6) AS duplicate_rate, round(count(*) / (sum(n_chars) / 1000.0), 6) AS per_kchar FROM documents GROUP BY 1""")
-def agg17(spark, sf):
-    rows = table(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("h"), "n_chars")
-    per = rows.groupBy("source", "h").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
-    return per.groupBy("source").agg(F.sum("n").alias("volume"), F.round(1 - F.count("*") / F.sum("n"), 6).alias("duplicate_rate"), F.round(F.sum("n") / (F.sum("c") / 1000.0), 6).alias("per_kchar"))
-
-
 @query("agg18_slices", """
 SELECT v AS slice, count(doc_id) AS n, round(avg(n_chars), 4) AS mean_chars FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) t(v) LEFT JOIN documents d ON d.lang = t.v GROUP BY 1""")
 def agg18(spark, sf):
@@ -149,14 +141,6 @@ def agg18(spark, sf):
     return slices.join(per, "slice", "left").select("slice", F.coalesce("c", F.lit(0)).alias("n"), F.round("m", 4).alias("mean_chars"))
 
 
-@query("agg19_cloud", """
-SELECT event_type AS tag, count(DISTINCT user_id) AS subjects, bool_and(value > 0) AS all_derived, arg_max(user_id, struct_pack(v := value, e := -event_id)) AS strongest, list_aggregate(list_sort(list(DISTINCT user_id % 5)), 'string_agg', ',') AS lenses FROM events GROUP BY 1""")
-def agg19(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("tag")).agg(
-        F.count_distinct("user_id").alias("subjects"), F.bool_and(F.col("value") > 0).alias("all_derived"),
-        F.max_by("user_id", F.struct("value", -F.col("event_id"))).alias("strongest"), F.array_join(F.transform(F.array_sort(F.collect_set(F.col("user_id") % 5)), lambda x: x.cast("string")), ",").alias("lenses"))
-
-
 @query("agg20_bucket_merge", """
 SELECT user_id, event_type, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, min_by(event_id, struct_pack(h := md5(event_id::VARCHAR))) AS first_report FROM events GROUP BY 1, 2""")
 def agg20(spark, sf):
@@ -169,11 +153,6 @@ def agg22(spark, sf):
     return table(spark, sf, "nation").groupBy(F.lower("n_name").alias("key")).agg(F.min("n_nationkey").alias("first_key"), F.count("*").alias("n")).orderBy("key").limit(10)
 
 
-@query("agg23_totals", "SELECT sum(l_quantity)::BIGINT AS lines, count(*) AS n, count(DISTINCT l_orderkey) AS sources, round(count(*) FILTER (l_returnflag = 'R') / count(*), 8) AS rate FROM lineitem")
-def agg23(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.sum("l_quantity").cast("long").alias("lines"), F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("sources"), F.round(F.count_if(F.col("l_returnflag") == "R") / F.count("*"), 8).alias("rate"))
-
-
 @query("agg26_menu", """
 WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY lang) AS total FROM documents)
 SELECT lang, (n - 1) // 100 AS part, string_agg(doc_id::VARCHAR, ',' ORDER BY n) AS members, CASE WHEN (n - 1) // 100 < (max(total) - 1) // 100 THEN (n - 1) // 100 + 1 END AS next_part FROM r GROUP BY lang, (n - 1) // 100""")
@@ -194,17 +173,6 @@ def agg28(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.min_by("o_orderstatus", rank).alias("state"))
 
 
-@query("agg29_job_spans", """
-SELECT user_id, min(ts) AS first_at, min(ts) FILTER (event_type = 'click') AS started, max_by(event_type, struct_pack(t := ts, e := event_id)) AS status, count(*) AS n,
-  epoch_us(min(ts)) - (SELECT epoch_us(min(ts)) FROM events) AS "offset" FROM events GROUP BY 1""")
-def agg29(spark, sf):
-    events = table(spark, sf, "events")
-    spans = events.groupBy("user_id").agg(F.min("ts").alias("first_at"), F.min(F.when(F.col("event_type") == "click", F.col("ts"))).alias("started"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
-    us = F.unix_micros(F.col("first_at").cast("timestamp"))
-    zero = spans.agg(F.min(us)).first()[0]
-    return spans.select("user_id", "first_at", "started", "status", "n", (us - F.lit(zero)).alias("offset"))
-
-
 @query("agg31_matrix", """
 SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1""")
 def agg31(spark, sf):

@@ -35,13 +35,6 @@ def dom06(spark, sf):
     return pairs.filter("p.flag = 'of' AND p.value IS NOT NULL").select("item_id", "p.value").distinct()
 
 
-@query("dom07_repository_identity", r"""
-SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) LIKE '%.com' AS allowed FROM pages""")
-def dom07(spark, sf):
-    host = F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1))
-    return table(spark, sf, "pages").select("page_id", host.alias("host"), host.endswith(".com").alias("allowed"))
-
-
 @query("dom10_context_by_file", "SELECT l_partkey, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS suppliers FROM lineitem GROUP BY 1")
 def dom10(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("s"))
@@ -77,18 +70,6 @@ def dom19(spark, sf):
     return table(spark, sf, "nation").join(per, "n_nationkey", "left").select("n_name", F.coalesce("c", F.lit(0)).alias("covered"), F.coalesce("t", F.lit(0)).alias("total"))
 
 
-@query("dom21_citations", "SELECT role, count(*) AS cited, count(*) FILTER (d.doc_id IS NOT NULL) AS resolved FROM conversations c LEFT JOIN documents d ON c.conv_id * 3 = d.doc_id GROUP BY 1")
-def dom21(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.lit(True).alias("hit"))
-    c = table(spark, sf, "conversations").withColumn("k", F.col("conv_id") * 3).join(docs, "k", "left")
-    return c.groupBy("role").agg(F.count("*").alias("cited"), F.count("hit").alias("resolved"))
-
-
-@query("dom22_recheck_selection", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY value DESC, event_id LIMIT 30")
-def dom22(spark, sf):
-    return table(spark, sf, "events").filter("event_type = 'error'").orderBy(F.col("value").desc(), "event_id").limit(30).select("event_id")
-
-
 @query("dom24_partial_coverage", "SELECT source, CASE WHEN count(l.doc_id) < count(*) THEN NULL ELSE sum(toxic) END::BIGINT AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def dom24(spark, sf):
     from veridact.operators.aggregates import strict_sum
@@ -103,12 +84,6 @@ def dom30(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", L.first_true([(r & (F.col("l_discount") > 0.05), "promote"), (r, "watch")], "drop").alias("class"))
 
 
-@query("dom33_citation_demotion", "SELECT turn, conv_id, CASE WHEN EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = c.turn * 2) THEN 'cited' ELSE 'unresolved' END AS state FROM conversations c")
-def dom33(spark, sf):
-    known = table(spark, sf, "benchmark").select((F.col("item_id")).alias("k"), F.lit("cited").alias("hit"))
-    return table(spark, sf, "conversations").withColumn("k", F.col("turn") * 2).join(known, "k", "left").select("turn", "conv_id", F.coalesce("hit", F.lit("unresolved")).alias("state"))
-
-
 @query("dom34_request_batches", None)
 def dom34(spark, sf):
     """Conversation turns in requests of at most 4,000 characters."""
@@ -116,11 +91,6 @@ def dom34(spark, sf):
     return G.packed(turns, "conv_id", ["turn"], "size", 1000, 4000)
 
 
-@query("dom35_subject_selection", "SELECT doc_id, CASE WHEN n_chars <= 500 THEN 'whole' WHEN contains(text, 'the') THEN 'hinted' ELSE 'gap' END AS how FROM documents")
-def dom35(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", L.first_true([(F.col("n_chars") <= 500, "whole"), (F.contains("text", F.lit("the")), "hinted")], "gap").alias("how"))
-
-
 @query("dom37_resume_plan", """
 SELECT a.user_id, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h = b.h THEN 'reuse' ELSE 'rerun' END AS plan FROM (SELECT user_id, md5(string_agg(DISTINCT event_type, ',' ORDER BY event_type)) AS h FROM events GROUP BY 1) a
 LEFT JOIN (SELECT user_id, md5(string_agg(DISTINCT event_type, ',' ORDER BY event_type)) AS h FROM events WHERE ts < TIMESTAMP '2024-01-05' GROUP BY 1) b USING (user_id)""")
@@ -187,13 +157,6 @@ def chg07(spark, sf):
     return top.select("unit", F.col("user_id").alias("owner"), (F.col("last") < F.expr("TIMESTAMP_NTZ '2024-01-29'")).alias("departed"))
 
 
-@query("lif05_canary", "SELECT event_type, abs(avg(value) FILTER (ts < TIMESTAMP '2024-01-15') - avg(value) FILTER (ts >= TIMESTAMP '2024-01-15')) > 0.5 AS drifted FROM events GROUP BY 1")
-def lif05(spark, sf):
-    early = F.expr("ts < TIMESTAMP_NTZ '2024-01-15'")
-    a, b = F.avg(F.when(early, F.col("value"))), F.avg(F.when(~early, F.col("value")))
-    return table(spark, sf, "events").groupBy("event_type").agg((F.abs(a - b) > 0.5).alias("drifted"))
-
-
 @query("lif07_fix_on_fix", """
 WITH o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d FROM orders)
 SELECT a.o_orderkey AS earlier, b.o_orderkey AS later FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.d - a.d BETWEEN 0 AND 14 AND (b.d > a.d OR b.o_orderkey > a.o_orderkey)""")
@@ -208,11 +171,6 @@ def lif07(spark, sf):
     return met.filter("u > s OR later > earlier").select("earlier", "later")
 
 
-@query("lif16_populations", "SELECT md5(event_type || '|' || (user_id % 10)) AS root_cause, count(*) AS n FROM events GROUP BY 1")
-def lif16(spark, sf):
-    return table(spark, sf, "events").groupBy(F.md5(F.concat("event_type", F.lit("|"), F.col("user_id") % 10).cast("binary")).alias("root_cause")).agg(F.count("*").alias("n"))
-
-
 @query("win18_personas", "SELECT p_brand, p_type FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) <= 2")
 def win18(spark, sf):
     counts = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))

@@ -125,14 +125,6 @@ def flt14(spark, sf):
     return table(spark, sf, "pages").filter(P.matches_glob(F.regexp_replace("url", "^https?://", ""), "*/??/**")).select("page_id")
 
 
-@query("flt16_exclusion_category", """
-SELECT page_id, CASE WHEN regexp_matches(url, '/fr/') THEN 'french' WHEN regexp_matches(url, '[?]') THEN 'query' WHEN regexp_matches(url, '^https') THEN 'secure' END AS category FROM pages""")
-def flt16(spark, sf):
-    rules = [("french", "/fr/"), ("query", "[?]"), ("secure", "^https")]
-    category = F.coalesce(*[F.when(F.col("url").rlike(p), F.lit(n)) for n, p in rules])
-    return table(spark, sf, "pages").select("page_id", category.alias("category"))
-
-
 @query("flt17_counted_exclusions", """
 SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN lang <> 'en' THEN 'foreign' END AS category, count(*) AS n FROM documents
 GROUP BY 1 HAVING category IS NOT NULL""")
@@ -140,16 +132,6 @@ def flt17(spark, sf):
     return E.excluded_counts(table(spark, sf, "documents"), F.when(F.col("n_chars") < 500, F.lit("short")).when(F.col("lang") != "en", F.lit("foreign")))
 
 
-@query("flt18_lead_filter", r"""
-SELECT event_id FROM events e WHERE NOT EXISTS (
-  SELECT 1 FROM (VALUES ('click', '^[0-4]$'), ('view', '^.*$')) r(t, p) WHERE e.event_type = r.t AND regexp_matches((e.user_id % 10)::VARCHAR, r.p))""")
-def flt18(spark, sf):
-    rules = spark.createDataFrame([("click", "^[0-4]$"), ("view", "^.*$")], "event_type string, pattern string")
-    events = table(spark, sf, "events").withColumn("rule_id", (F.col("user_id") % 10).cast("string"))
-    matched = (events["event_type"] == rules["event_type"]) & F.expr("rule_id RLIKE pattern")
-    return events.join(F.broadcast(rules), matched, "left_anti").select("event_id")  # two rules
-
-
 @query("flt19_scope_grants", "SELECT event_id FROM events WHERE event_type IN (SELECT event_type FROM events WHERE user_id = 3)")
 def flt19(spark, sf):
     events = table(spark, sf, "events")

@@ -84,13 +84,6 @@ def gr16(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", span.alias("s")).select("l_orderkey", "l_linenumber", "s.start", "s.end")
 
 
-@query("gr18_admissibility", """
-SELECT event_id, array_to_string(list_filter([CASE WHEN value IS NULL THEN 'no_value' END, CASE WHEN value < 1 THEN 'weak' END, CASE WHEN user_id % 13 = 0 THEN 'excluded' END], lambda x: x IS NOT NULL), ',') AS reasons FROM events""")
-def gr18(spark, sf):
-    reasons = F.array_compact(F.array(F.when(F.col("value").isNull(), F.lit("no_value")), F.when(F.col("value") < 1, F.lit("weak")), F.when(F.col("user_id") % 13 == 0, F.lit("excluded"))))
-    return table(spark, sf, "events").select("event_id", F.array_join(reasons, ",").alias("reasons"))
-
-
 @query("gr20_first_rule", """
 SELECT p_partkey, coalesce(a.rule, b.rule) AS rule, CASE WHEN a.rule IS NOT NULL THEN 0 WHEN b.rule IS NOT NULL THEN 1 END AS tier FROM part
 LEFT JOIN (VALUES ('Brand#11', 10, 'exact')) a(b, s, rule) ON p_brand = a.b AND p_size = a.s LEFT JOIN (VALUES ('Brand#11', 'brand'), ('Brand#12', 'brand12')) b(b, rule) ON p_brand = b.b""")

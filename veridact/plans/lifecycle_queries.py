@@ -64,19 +64,6 @@ def lif08(spark, sf):
     return L.crosswalk(table(spark, sf, "events"), "user_id", rules)
 
 
-@query("lif13_claim_merge", """
-SELECT sha256(l_partkey || '|' || l_suppkey) AS claim, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS preconditions FROM lineitem GROUP BY l_partkey, l_suppkey""")
-def lif13(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("preconditions"))
-    return g.select(F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey").cast("binary"), 256).alias("claim"), F.array_join("preconditions", ",").alias("preconditions"))
-
-
-@query("dom15_ab_side", "SELECT o_orderkey, (('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 2)::BIGINT AS side FROM orders")
-def dom15(spark, sf):
-    h = F.conv(F.substring(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("long")
-    return table(spark, sf, "orders").select("o_orderkey", (h % 2).alias("side"))
-
-
 @query("dom03_one_role", """
 SELECT page_id, CASE WHEN url LIKE '%/fr/%' THEN 'fr' WHEN url LIKE '%/en/%' THEN 'en' WHEN url LIKE '%/de/%' THEN 'de' ELSE 'unclaimed' END AS role FROM pages""")
 def dom03(spark, sf):
@@ -84,22 +71,6 @@ def dom03(spark, sf):
     return table(spark, sf, "pages").select("page_id", L.first_true(rows, "unclaimed").alias("role"))
 
 
-@query("dom14_severity_rules", """
-SELECT event_id, coalesce(a.sev, b.sev, 'unknown') AS severity FROM events LEFT JOIN (VALUES ('error', 0, 'critical')) a(t, p, sev) ON event_type = a.t AND user_id % 4 = a.p LEFT JOIN (VALUES ('error', 'high'), ('click', 'low')) b(t, sev) ON event_type = b.t""")
-def dom14(spark, sf):
-    exact = spark.createDataFrame([("error", 0, "critical")], "event_type string, p long, s1 string")
-    general = spark.createDataFrame([("error", "high"), ("click", "low")], "event_type string, s2 string")
-    rows = table(spark, sf, "events").withColumn("p", F.col("user_id") % 4)
-    return rows.join(exact, ["event_type", "p"], "left").join(general, "event_type", "left").select("event_id", F.coalesce("s1", "s2", F.lit("unknown")).alias("severity"))
-
-
-@query("dom20_actionability", """
-SELECT field, count(*) FILTER (present) AS present, count(*) FILTER (NOT present) AS absent FROM (SELECT unnest([struct_pack(f := 'price', p := o_totalprice > 100000), struct_pack(f := 'urgent', p := o_orderpriority = '1-URGENT')]) AS s FROM orders), LATERAL (SELECT s.f AS field, s.p AS present) GROUP BY 1""")
-def dom20(spark, sf):
-    flags = F.array(F.struct(F.lit("price").alias("field"), (F.col("o_totalprice") > 100000).alias("p")), F.struct(F.lit("urgent").alias("field"), (F.col("o_orderpriority") == "1-URGENT").alias("p")))
-    return table(spark, sf, "orders").select(F.inline(flags)).groupBy("field").agg(F.count_if("p").alias("present"), F.count_if(~F.col("p")).alias("absent"))
-
-
 @query("dom23_pair_expansion", "SELECT l_orderkey, l_linenumber, unnest(['defect', 'control']) AS role FROM lineitem WHERE l_returnflag = 'R'")
 def dom23(spark, sf):
     return table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", F.explode(F.array(F.lit("defect"), F.lit("control"))).alias("role"))

@@ -229,12 +229,6 @@ def lif03(spark, sf):
     return orders.groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(total), 6))
 
 
-@query("lif06_fix_support", "SELECT user_id, count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS after FROM events WHERE event_type = 'error' GROUP BY 1")
-def lif06(spark, sf):
-    early = F.expr("ts < TIMESTAMP_NTZ '2024-01-15'")
-    return table(spark, sf, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count_if(early).alias("before"), F.count_if(~early).alias("after"))
-
-
 @query("agg30_completion", "SELECT event_type, min(value) AS low, max(value) AS high, count(*) FILTER (value IS NULL) AS unknown FROM events GROUP BY 1")
 def agg30(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(F.col("value").isNull()).alias("unknown"))
