@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 
 def glob_regex(pattern: str) -> str:
-    """A regular expression for a path pattern: ``**/`` any folders, ``**`` anything, ``*`` and ``?`` within a name.
+    """A regular expression for a path pattern, folder by folder: ``*`` and ``?`` stay within a name, ``**`` does not.
 
-    A pattern without a slash matches a name at any depth.
+    A folder that ends in ``**`` stands for any folders, also none. A pattern without a slash matches a name at any depth.
     """
-    if "/" not in pattern:
-        pattern = "**/" + pattern
-    out, at = [], 0
-    for m in re.finditer(r"\*\*/|\*\*|\*|\?", pattern):
-        out.append(re.escape(pattern[at : m.start()]))
-        out.append({"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}[m.group()])
-        at = m.end()
-    return "^" + "".join(out) + re.escape(pattern[at:]) + "$"
+    folders = pattern.split("/")
+    if len(folders) == 1:
+        folders.insert(0, "**")
+    name = folders.pop()
+    return "^" + "".join(_part(f[:-2]) + "(?:[^/]+/)*" if f.endswith("**") else _part(f) + "/" for f in folders) + _part(name) + "$"
+
+
+def _part(text: str) -> str:
+    """One name of a path pattern."""
+    within = {"*": "[^/]*", "?": "[^/]"}
+    return ".*".join("".join(within.get(c) or re.escape(c) for c in piece) for piece in text.split("**"))
 
 
 def matches_glob(path: Column, pattern: str) -> Column:

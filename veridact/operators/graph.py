@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridact.operators.walks import levelled as levels  # noqa: F401
 from veridact.session import cut
 
 
@@ -71,21 +72,6 @@ def reduction(edges: DataFrame) -> DataFrame:
     return direct.join(around.distinct(), ["src", "dst"], "left_anti")
 
 
-def levels(edges: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(node, level) by longest path from a source, and the nodes left over because they are on or behind a cycle."""
-    links = cut(edges.select("src", "dst").distinct(), "levels")
-    rest = cut(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct(), "levels")
-    done = None
-    for level in range(most):
-        blocked = links.join(rest, links["src"] == rest["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        ready = cut(rest.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)), "levels")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.union(ready)
-        rest = cut(rest.join(ready.select("node"), "node", "left_anti"), "levels")
-    return (done if done is not None else rest.withColumn("level", F.lit(0)).limit(0)), rest
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node each can reach. Labels jump to their label's label, so rounds are few."""
     links = cut(both_ways(edges), "components")

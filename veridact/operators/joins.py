@@ -118,17 +118,6 @@ def tiered_match(prior: DataFrame, current: DataFrame, key: str, tiers: Sequence
     return out
 
 
-def co_members(df: DataFrame, group: str, member: str, most: int) -> DataFrame:
-    """(group, left, right) with left < right for members of one group; groups of more than ``most`` members give none.
-
-    The bound is part of the operator (bulk changes say nothing about coupling) and keeps pairs linear in the input.
-    """
-    rows = df.select(group, member).distinct()
-    small = rows.groupBy(group).agg(F.sort_array(F.collect_set(member)).alias("members")).filter(F.size("members") <= most)
-    left = small.select(group, F.posexplode("members").alias("at", "left"), "members")
-    return left.select(group, "left", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("right"))
-
-
 def nominate(df: DataFrame, key: str, entity: str, differs: str) -> DataFrame:
     """Pairs of keys, smaller first, that share an entity but differ in a column (null differs from a value)."""
     a = df.select(F.col(key).alias("left_id"), F.col(entity).alias("shared"), F.col(differs).alias("left_value"))
