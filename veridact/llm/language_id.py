@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SAMPLE_PER_LANGUAGE = 400
 SWITCH_PENALTY = 9.0
 TABLE_BITS = 17
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
 
