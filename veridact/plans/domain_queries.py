@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridact.operators import graph as G
 from veridact.operators import lifecycle as L
 from veridact.operators.search import top_per_group
-from veridact.plans.registry import query, table
+from veridact.plans.registry import packed_sql, query, table
 
 
 @query("dom01_observation_class", "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.class'), ''), CASE event_type WHEN 'error' THEN 'fault' WHEN 'view' THEN 'usage' END, 'other') AS class FROM events")
@@ -84,7 +84,7 @@ def dom30(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", L.first_true([(r & (F.col("l_discount") > 0.05), "promote"), (r, "watch")], "drop").alias("class"))
 
 
-@query("dom34_request_batches", None)
+@query("dom34_request_batches", packed_sql("SELECT conv_id, turn, length(text)::BIGINT AS size FROM conversations", "conv_id, turn, size", "conv_id", "turn", "size", 1000, 4000))
 def dom34(spark, sf):
     """Conversation turns in requests of at most 4,000 characters."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veridact.operators import graph as G
 from veridact.operators import joins as J
-from veridact.plans.registry import query, table
+from veridact.plans.registry import DOMINATORS_SQL, packed_sql, query, table, walk_sql
 
 EDGES_SQL = (
     "e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
@@ -40,7 +40,7 @@ def gr02(spark, sf):
     return G.neighbourhood(G.both_ways(_edges(spark, sf)), spark.createDataFrame([("n2",)], "node string"), 2)
 
 
-@query("gr04_limited_walk", None)
+@query("gr04_limited_walk", walk_sql(EDGES_SQL, "('c1', 0), ('s3', 0)", 4, 40))
 def gr04(spark, sf):
     """The first 40 nodes of a walk, level by level and by name; the bound shows in `expanded`."""
     return G.neighbourhood(G.both_ways(_edges(spark, sf)), spark.createDataFrame([("c1",), ("s3",)], "node string"), 4, limit=40)
@@ -67,7 +67,9 @@ def gr13b(spark, sf):
     return G.reduction(_dag(spark, sf))
 
 
-@query("gr05_dominators", None)
+@query("gr05_dominators", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT p_brand AS graph, 'n' || (p_partkey % 8) AS src, 'n' || ((p_partkey + p_size) % 8) AS dst, 'n0' AS entry FROM part UNION ALL SELECT p_brand, 'n0', 'n1', 'n0' FROM part)),
+{DOMINATORS_SQL} SELECT r.graph, r.node, i.idom FROM r LEFT JOIN i USING (graph, node)""")
 def gr05(spark, sf):
     """Immediate dominators of one small graph per part brand."""
     part = table(spark, sf, "part")
@@ -103,7 +105,7 @@ def dom47(spark, sf):
     return G.islands(rows, ["user_id"], "lo", "hi")
 
 
-@query("dom25_greedy_batches", None)
+@query("dom25_greedy_batches", packed_sql("SELECT source, doc_id, n_chars FROM documents", "source, doc_id, n_chars", "source", "doc_id", "n_chars", 64, 100_000))
 def dom25(spark, sf):
     """Documents of each source in batches of at most 64 documents and 100,000 characters."""
     docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")

@@ -10,7 +10,7 @@ from veridact.operators import ranking as R
 from veridact.operators import replay
 from veridact.operators import versions as V
 from veridact.operators.search import folded_tokens, tokens
-from veridact.plans.registry import query, table
+from veridact.plans.registry import packed_sql, query, table, walk_sql
 from veridact.sources import documents
 
 CALLS_SQL = "e AS (SELECT DISTINCT o_custkey AS src, l_suppkey + 1000000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT l_suppkey + 1000000000, l_partkey + 2000000000 FROM lineitem WHERE l_returnflag = 'R')"
@@ -82,7 +82,7 @@ def snk08(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.regexp_extract(F.to_json(F.struct(F.col("n_name").alias("v"))), r'^\{"v":(.*)\}$', 1).alias("cell"))
 
 
-@query("snk09_shard_batches", None)
+@query("snk09_shard_batches", packed_sql("SELECT o_orderstatus, o_orderkey, n AS rows FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey", "o_orderkey, o_orderstatus, rows", "o_orderstatus", "o_orderkey", "rows", 500, 3000))
 def snk09(spark, sf):
     """Orders of each status in shards of at most 500 orders and 3,000 lines."""
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("rows"))
@@ -102,11 +102,13 @@ def flt15(spark, sf):
     return table(spark, sf, "part").filter(F.col("p_name").rlike(glob_regex("r*b?lt"))).select("p_partkey")
 
 
-@query("fts02b_folded_tokens", None)
+@query("fts02b_folded_tokens", r"""
+WITH t AS (SELECT lang, unnest(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '\p{M}+', '', 'g')), '[^\p{L}\p{N}]+')) AS token FROM documents)
+SELECT lang, count(*) AS n, count(DISTINCT token) AS n_distinct FROM t WHERE token <> '' GROUP BY 1""")
 def fts02b(spark, sf):
     """Tokens of any script, by language."""
     t = table(spark, sf, "documents").select("lang", F.explode(folded_tokens(F.col("text"))).alias("token"))
-    return t.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("token").alias("about_distinct"))
+    return t.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_distinct"))
 
 
 @query("jn16_version_in_range", "SELECT p.p_partkey, n.n_nationkey AS advisory FROM part p JOIN nation n ON p.p_partkey % 25 = n.n_nationkey AND p.p_size >= n.n_nationkey AND p.p_size < n.n_nationkey + 10")
@@ -136,7 +138,7 @@ def gr04(spark, sf):
     return G.neighbourhood(G.both_ways(_calls(spark, sf)), spark.createDataFrame([(1_000_000_007,)], "node long"), 2).select("node", "distance")
 
 
-@query("gr06_post_dominators", None)
+@query("gr06_post_dominators", "SELECT n_name AS graph, t.node, t.idom FROM nation, (VALUES ('d', NULL), ('b', 'd'), ('c', 'd'), ('a', 'd')) t(node, idom)")
 def gr06(spark, sf):
     """Immediate post-dominators of a diamond for each nation."""
     pairs = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in (("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"))])
@@ -152,7 +154,7 @@ def gr07(spark, sf):
     return G.dominator_chain(G.dominators(edges, "graph", "entry"), seeds, 8)
 
 
-@query("gr09_bounded_slice", None)
+@query("gr09_bounded_slice", walk_sql(CALLS_SQL, "(3, 0), (1000000009, 0)", 5, 25))
 def gr09(spark, sf):
     """A slice of at most 25 nodes in both directions."""
     return G.neighbourhood(G.both_ways(_calls(spark, sf)), spark.createDataFrame([(3,), (1_000_000_009,)], "node long"), 5, limit=25)
@@ -199,7 +201,11 @@ def gr22(spark, sf):
     return table(spark, sf, "part").select("p_partkey").join(flows, "p_partkey", "left").join(diag, "p_partkey", "left").select("p_partkey", F.coalesce("f", F.lit(0)).alias("flows"), F.coalesce("d", F.lit(0)).alias("diagnostics"))
 
 
-@query("win13_current_paths", None)
+@query("win13_current_paths", """
+WITH RECURSIVE c AS (SELECT p_brand, -p_partkey AS position, 'f' || (p_size % 12) AS path, CASE WHEN p_partkey % 9 = 0 THEN 'f' || ((p_size + 1) % 12) END AS renamed_from, row_number() OVER (PARTITION BY p_brand ORDER BY -p_partkey) AS k FROM part),
+w AS (SELECT c.*, path AS current_path, CASE WHEN renamed_from IS NULL THEN MAP {} ELSE MAP {renamed_from: path} END AS alias FROM c WHERE k = 1 UNION ALL
+  SELECT c.*, coalesce(list_extract(map_extract(alias, c.path), 1), c.path), CASE WHEN c.renamed_from IS NULL THEN alias ELSE map_concat(alias, MAP {c.renamed_from: coalesce(list_extract(map_extract(alias, c.path), 1), c.path)}) END FROM w JOIN c ON c.p_brand = w.p_brand AND c.k = w.k + 1)
+SELECT p_brand, position, path, renamed_from, current_path FROM w""")
 def win13(spark, sf):
     """Where the files of each brand's changes are now: larger part keys are newer; some changes rename their file."""
     part = table(spark, sf, "part")
