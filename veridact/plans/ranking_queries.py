@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridact.operators import aggregates as A
 from veridact.operators import ranking as R
 from veridact.plans.registry import query, table
+from veridact.session import cut
 
 WEIGHTS = {"relative_churn": 0.4, "revision_frequency": 0.25, "author_entropy": 0.2, "complexity": 0.15}
 
@@ -37,7 +38,8 @@ def units(spark, sf):
 
 @query("win04_instability", INSTABILITY_SQL)
 def win04(spark, sf):
-    scored = R.instability(units(spark, sf), WEIGHTS, ["relative_churn", "revision_frequency"])
+    # the bounds, the ranges of the order and the result all read the units
+    scored = R.instability(cut(units(spark, sf), "units"), WEIGHTS, ["relative_churn", "revision_frequency"])
     order = [F.col("score").desc(), F.col("churn_lines").desc(), F.col("change_count").desc(), F.col("key")]
     out = R.tiers(scored, order, [("high", "0.05"), ("medium", "0.15")], "low")
     return out.select("key", "change_count", "churn_lines", "score", "weight_coverage", F.array_join("missing_inputs", ",").alias("missing_inputs"), F.col("rank").cast("long").alias("rank"), "tier")
