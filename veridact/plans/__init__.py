@@ -7,6 +7,7 @@ from veridact.plans import (  # noqa: F401
     decision_queries,
     domain_queries,
     evidence_queries,
+    feed_queries,
     find_queries,
     finding_queries,
     graph_queries,

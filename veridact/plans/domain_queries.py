@@ -177,13 +177,6 @@ def win18(spark, sf):
     return top_per_group(counts, ["p_brand"], [F.col("n").desc(), F.col("p_type")], 2).select("p_brand", "p_type")
 
 
-@query("str04_silence", "SELECT user_id, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOURS AS stale FROM events GROUP BY 1")
-def str04(spark, sf):
-    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
-    end = F.lit(last.agg(F.max("last")).first()[0]).cast("timestamp_ntz")
-    return last.select("user_id", (F.col("last") < end - F.expr("INTERVAL 12 HOURS")).alias("stale"))
-
-
 @query("str02_contiguity", "WITH s AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS missing FROM events) SELECT user_id, count(*) FILTER (missing > 0) AS gaps FROM s GROUP BY 1")
 def str02(spark, sf):
     gap = F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")) - 1

@@ -132,17 +132,6 @@ def str05(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
 
 
-@query("str06_pairing", """
-WITH s AS (SELECT user_id, ts::DATE AS day, min(ts) FILTER (event_type = 'view') AS began, max(ts) FILTER (event_type = 'purchase') AS ended FROM events GROUP BY 1, 2)
-SELECT user_id, day::VARCHAR AS day, CASE WHEN began IS NULL AND ended IS NULL THEN 'neither' WHEN began IS NULL THEN 'missing_start' WHEN ended IS NULL THEN 'missing_end' WHEN ended < began THEN 'inconsistent' ELSE 'paired' END AS state FROM s""")
-def str06(spark, sf):
-    kind, ts = F.col("event_type"), F.col("ts")
-    s = table(spark, sf, "events").groupBy("user_id", ts.cast("date").alias("day")).agg(F.min(F.when(kind == "view", ts)).alias("b"), F.max(F.when(kind == "purchase", ts)).alias("e"))
-    b, e = F.col("b"), F.col("e")
-    state = L.first_true([(b.isNull() & e.isNull(), "neither"), (b.isNull(), "missing_start"), (e.isNull(), "missing_end"), (e < b, "inconsistent")], "paired")
-    return s.select("user_id", F.col("day").cast("string").alias("day"), state.alias("state"))
-
-
 @query("str10_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def str10(spark, sf):
     return table(spark, sf, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")

@@ -59,13 +59,6 @@ def snk02(spark, sf):
     return refuse(rows, F.col("bytes") > 1_000_000, "document too large").orderBy("identity")
 
 
-@query("snk03_index_receipt", r"""
-WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM benchmark) SELECT count(*) AS tokens, count(DISTINCT token) AS distinct_tokens, count(DISTINCT item_id) AS documents FROM t""")
-def snk03(spark, sf):
-    t = table(spark, sf, "benchmark").select("item_id", F.explode(tokens(F.col("text"))).alias("token"))
-    return t.agg(F.count("*").alias("tokens"), F.count_distinct("token").alias("distinct_tokens"), F.count_distinct("item_id").alias("documents"))
-
-
 @query("snk04_probe_validation", "SELECT 0::BIGINT AS differences")
 def snk04(spark, sf):
     from veridact.operators import evidence as E

@@ -111,14 +111,6 @@ def src17(spark, sf):
     return history.hunks(_lines(head.union(body), "p_partkey", ["p_partkey", "k"], F.col("v")))
 
 
-@query("src20_score_checks", "SELECT user_id, round(avg(value) / 1000, 6) AS epss, count(*) AS n FROM events GROUP BY 1")
-def src20(spark, sf):
-    from veridact.operators.evidence import refuse
-
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value") / 1000, 6).alias("epss"), F.count("*").alias("n"))
-    return refuse(rows, ~F.col("epss").between(0, 1), "score outside 0..1")
-
-
 @query("src21_kev", "SELECT 'CVE-' || n_nationkey AS cve_id, n_name AS product, n_regionkey = 1 AS known_ransomware_use FROM nation")
 def src21(spark, sf):
     entry = F.struct(F.concat(F.lit("CVE-"), "n_nationkey").alias("cveID"), F.col("n_name").alias("product"), F.when(F.col("n_regionkey") == 1, F.lit("Known")).otherwise(F.lit("Unknown")).alias("knownRansomwareCampaignUse"))
@@ -172,21 +164,3 @@ def src30(spark, sf):
 def src31(spark, sf):
     log = F.concat(F.lit("==1==ERROR: AddressSanitizer: "), "event_type", F.lit(" on x\n    #0 0xab in f"), "user_id", F.lit(" a.c:3"))
     return findings.flatten("sanitizer", table(spark, sf, "events").select(log.alias("value")))
-
-
-@query("snk06_sarif_export", "SELECT count(*) AS n FROM events")
-def snk06(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("event_type").alias("rule_id"), F.lit("note").alias("level"), F.lit("m").alias("message"), F.lit("p").alias("path"), F.col("event_id").alias("start_line"), F.col("event_id").alias("end_line"))
-    return sinks.sarif_results(rows).agg(F.count("value").alias("n"))
-
-
-@query("snk06b_dangling_rules", "SELECT DISTINCT event_type AS rule_id FROM events WHERE event_type NOT IN ('click', 'view')")
-def snk06b(spark, sf):
-    rules = spark.createDataFrame([("click",), ("view",)], "rule_id string")
-    return sinks.dangling(table(spark, sf, "events").select(F.col("event_type").alias("rule_id")), rules).distinct()
-
-
-@query("snk07_vex", "SELECT count(*) AS n FROM (SELECT DISTINCT p_size, p_brand = 'Brand#11' AS s FROM part)")
-def snk07(spark, sf):
-    verdicts = table(spark, sf, "part").select(F.col("p_size").cast("string").alias("cve_id"), "p_name", (F.col("p_brand") == "Brand#11").cast("string").alias("status")).withColumnRenamed("p_name", "product")
-    return sinks.vex_statements(verdicts).agg(F.count("value").alias("n"))

@@ -61,3 +61,10 @@ def hashed(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     lines = F.octet_length("content") - F.octet_length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
     return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha256"), lines.cast("long").alias("rows"))
+
+
+def index_receipt(index: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, total, sha256): a receipt for each row of an inverted index (token, key, tf), which a later check takes again and compares."""
+    line = F.concat_ws(":", "token", F.col("tf").cast("string"))
+    g = index.groupBy(key).agg(F.count("*").alias("tokens"), F.sum("tf").alias("total"), F.array_sort(F.collect_list(line)).alias("lines"))
+    return g.select(key, "tokens", "total", F.sha2(F.array_join("lines", ","), 256).alias("sha256"))

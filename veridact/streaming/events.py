@@ -93,3 +93,31 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def pairings(events: DataFrame, key: list[str], starts: list[str], ends: list[str]) -> DataFrame:
+    """(key, state, seconds, missing) of a batch of start and terminal events (type, at, sequence) by key.
+
+    complete: one start and terminals of one type, from the start to the last of them; running: no terminal; unstarted: no start;
+    conflict: several starts, or terminals of several types, and no time; inconsistent: an end before its start.
+    """
+    start, end = F.col("type").isin(*starts), F.col("type").isin(*ends)
+    g = events.filter(start | end).groupBy(*key).agg(
+        F.count_if(start).alias("starts"), F.count_distinct(F.when(end, F.col("type"))).alias("kinds"), F.min(F.when(start, F.col("at"))).alias("begun"), F.max(F.when(end, F.col("at"))).alias("ended"),
+    )
+    seconds = F.unix_timestamp(F.col("ended").cast("timestamp")) - F.unix_timestamp(F.col("begun").cast("timestamp"))
+    state = (
+        F.when((F.col("starts") > 1) | (F.col("kinds") > 1), "conflict").when(F.col("starts") == 0, "unstarted").when(F.col("kinds") == 0, "running")
+        .when(F.col("ended") < F.col("begun"), "inconsistent").otherwise("complete")
+    )
+    missing = F.when(state == "unstarted", "start").when(state == "running", "terminal")
+    return g.select(*key, state.alias("state"), F.when(state == "complete", seconds).alias("seconds"), missing.alias("missing"))
+
+
+def silent(events: DataFrame, key: list[str], progress: list[str], now, seconds: int) -> DataFrame:
+    """(key, last, silent_seconds, alert): how long each key of a batch has made no progress at an instant; null last if it never did."""
+    at = F.col("at").cast("timestamp")
+    last = F.max(F.when(F.col("type").isin(*progress), at))
+    g = events.groupBy(*key).agg(last.alias("last"))
+    quiet = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last")
+    return g.select(*key, "last", quiet.alias("silent_seconds"), F.coalesce(quiet > seconds, F.lit(True)).alias("alert"))
