@@ -245,3 +245,73 @@ def subjects(modules: DataFrame, parts: DataFrame, hints: DataFrame, most_lines:
     at = kept.select("module", "subject", F.explode(F.sequence("start", "end")).alias("line")).join(hints.select("module", "line").distinct(), ["module", "line"]).select("module", "subject", F.lit(True).alias("hit")).distinct()
     out = kept.join(at, ["module", "subject"], "left").withColumn("hinted", F.coalesce("hit", F.lit(False))).drop("hit")
     return out, large.filter(~fits).select("module", "subject", F.lit("subject_too_long").alias("gap"))
+
+
+def link_candidates(commands: DataFrame, valued: Sequence[str], most: int) -> tuple[DataFrame, int]:
+    """(name, kind, value, commands) of the libraries that commands (command, argv) link, by name, and how many candidates were left out.
+
+    ``-lNAME``, ``-l NAME``, ``-l:FILE`` and ``-framework NAME`` name one; the value of any flag of ``valued`` names none, whatever it looks like. A
+    word is a value if the words before it, in order, make it one, so the words are read once along each command.
+    """
+    name = r"^[A-Za-z0-9_][A-Za-z0-9_.+-]*$"
+    item = "struct<name:string,kind:string,value:string>"
+    none = F.lit(None).cast("string")
+    begin = F.struct(F.lit("").alias("flag"), F.array().cast(f"array<{item}>").alias("out"))
+
+    def step(acc: Column, word: Column) -> Column:
+        flag = acc["flag"]
+        file = F.regexp_replace(F.regexp_extract(word, r"^-l:(?:lib)?([^/]+?)(?:\.so(?:\.\d+)*|\.a|\.dylib|\.dll|\.lib)$", 1), "^$", "")
+        found = (
+            F.when((flag == "-l") & word.rlike(name), F.struct(word.alias("name"), F.lit("link_flag").alias("kind"), word.alias("value")))
+            .when(flag == "-framework", F.struct(word.alias("name"), F.lit("framework").alias("kind"), word.alias("value"))).when(flag != "", F.lit(None).cast(item))
+            .when(file != "", F.struct(file.alias("name"), F.lit("exact_library_name").alias("kind"), word.alias("value")))
+            .when(word.startswith("-l") & F.substring(word, 3, 1 << 20).rlike(name), F.struct(F.substring(word, 3, 1 << 20).alias("name"), F.lit("link_flag").alias("kind"), word.alias("value")))
+        )
+        # a flag that needs a value, and didn't itself stand as one, waits for the next word
+        waits = F.when((flag == "") & word.isin("-l", "-framework", *valued), word).otherwise(F.lit(""))
+        return F.struct(waits.alias("flag"), F.when(found.isNotNull(), F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+    words = F.slice("argv", F.lit(2), F.greatest(F.size("argv") - 1, F.lit(0)))
+    rows = commands.select("command", F.explode(F.aggregate(words, begin, step, lambda a: a["out"])).alias("c")).select("command", "c.*")
+    g = rows.groupBy("name", "kind").agg(F.min("value").alias("value"), F.count_distinct("command").alias("commands"))
+    return g.orderBy("name", "kind").limit(most), max(0, g.count() - most)
+
+
+def lifecycle_metrics(prior: DataFrame, current: DataFrame, states: Sequence[str], ages: DataFrame, actionable: Sequence[str] = ("high", "critical")) -> DataFrame:
+    """One row: prior findings by state (closed list, zero too), rates, what is new, and the median age of what persists and matters.
+
+    ``prior``: finding, state, severity, change_known; ``current``: state; ``ages``: finding, age. The median is null if a persisting finding of
+    the bands has no age, or none persists; a state that isn't listed is an error.
+    """
+    wrong = F.when(~F.col("state").isin(*states), F.raise_error(F.concat(F.lit("unknown state: "), "state")).cast("int")).otherwise(0)
+    rows = prior.join(ages, "finding", "left").withColumn("checked", wrong)
+    of = (F.col("state") == "persisting") & F.col("severity").isin(*actionable)
+    g = rows.agg(
+        *[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in states], F.count("*").alias("prior"), F.sum("checked").alias("checked"), F.count_if(~F.col("change_known")).alias("change_unknown"),
+        F.median(F.when(of, F.col("age"))).alias("median"), F.count_if(of).alias("matter"), F.count(F.when(of, F.col("age"))).alias("aged"),
+    )
+    new = current.agg(F.count_if(F.col("state") == "new").alias("introduced"))
+    both = g.withColumn("introduced", F.lit(new.first()["introduced"]))
+    rate = lambda s: F.try_divide(F.col(f"n_{s}"), F.col("prior")).alias(f"{s}_rate")
+    median = F.when((F.col("matter") > 0) & (F.col("matter") == F.col("aged")), F.col("median"))
+    return both.filter("coalesce(checked, 0) = 0").select(*[f"n_{s}" for s in states], *[rate(s) for s in states], "change_unknown", "introduced", median.alias("median_age"))
+
+
+def scorecard(functions: DataFrame, calls: DataFrame, states: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(function, <state>..., total) of the calls of each function by verdict, zeros too, and (state, n) of calls of no listed function."""
+    counted = functions.select("function").distinct().join(calls.withColumnRenamed("caller", "function"), "function", "left")
+    own = counted.groupBy("function").agg(*[F.count_if(F.col("state") == s).alias(s) for s in states], F.count("state").alias("total"))
+    lost = calls.join(functions.select(F.col("function").alias("caller")).distinct(), "caller", "left_anti").groupBy("state").agg(F.count("*").alias("n"))
+    return own, lost
+
+
+def scope_seeds(wanted: DataFrame, functions: DataFrame, units: DataFrame) -> DataFrame:
+    """(seed, function, unit, reason): wanted seeds (seed, path, name) as functions and their units; what doesn't resolve says why.
+
+    One function of the path and name resolves; none, or several, do not; a function without a unit keeps its place without one.
+    """
+    met = wanted.join(functions.select("path", "name", "function"), ["path", "name"], "left")
+    g = met.groupBy("seed").agg(F.count("function").alias("n"), F.min("function").alias("function"))
+    one = g.withColumn("function", F.when(F.col("n") == 1, F.col("function"))).join(units.groupBy("function").agg(F.min("unit").alias("unit")), "function", "left")
+    reason = F.when(F.col("n") == 0, "function_not_found").when(F.col("n") > 1, "function_ambiguous").when(F.col("unit").isNull(), "unit_not_found")
+    return one.select("seed", "function", "unit", reason.alias("reason"))

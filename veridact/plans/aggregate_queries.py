@@ -200,14 +200,6 @@ def agg35(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.sum("l_quantity").alias("count"))
 
 
-@query("agg36_scorecard", """
-SELECT 'order' AS family, o_orderstatus AS state, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'line', l_returnflag, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'event', event_type, count(*) FROM events GROUP BY 2""")
-def agg36(spark, sf):
-    sources = (("order", "orders", "o_orderstatus"), ("line", "lineitem", "l_returnflag"), ("event", "events", "event_type"))
-    parts = [table(spark, sf, t).groupBy(F.lit(n).alias("family"), F.col(c).alias("state")).agg(F.count("*").alias("n")) for n, t, c in sources]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
 @query("agg37_exact_accounting", """
 WITH b AS (SELECT c_custkey, (c_acctbal < 0)::INT + (c_acctbal BETWEEN 0 AND 5000)::INT + (c_acctbal >= 5000)::INT + (c_custkey % 500 = 0)::INT AS n FROM customer) SELECT c_custkey, n::BIGINT AS buckets FROM b WHERE n <> 1""")
 def agg37(spark, sf):

@@ -26,15 +26,6 @@ def dom05(spark, sf):
     return words.select("item_id", "pos", L.first_true([(F.col("w").rlike("^[A-Z]"), "capital"), (F.col("w").rlike("[.,]$"), "ending")], "word").alias("class"))
 
 
-@query("dom06_flag_values", r"""
-WITH t AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM benchmark), n AS (SELECT *, lead(w) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM t)
-SELECT DISTINCT item_id, nxt AS value FROM n WHERE w = 'of' AND nxt IS NOT NULL""")
-def dom06(spark, sf):
-    words = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("ws"))
-    pairs = words.select("item_id", F.explode(F.zip_with("ws", F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.struct(a.alias("flag"), b.alias("value")))).alias("p"))
-    return pairs.filter("p.flag = 'of' AND p.value IS NOT NULL").select("item_id", "p.value").distinct()
-
-
 @query("dom10_context_by_file", "SELECT l_partkey, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS suppliers FROM lineitem GROUP BY 1")
 def dom10(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("s"))
@@ -134,13 +125,6 @@ def dom49(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.explode(F.array(F.concat(F.lit("customer:"), "o_custkey"), F.concat(F.lit("status:"), "o_orderstatus"))).alias("related"))
 
 
-@query("dom50_seeds", "SELECT s.k AS seed, p.p_partkey, CASE WHEN p.p_partkey IS NULL THEN 'unresolved' ELSE 'ok' END AS reason FROM (VALUES (1), (5), (999999999)) s(k) LEFT JOIN part p ON p.p_partkey = s.k")
-def dom50(spark, sf):
-    seeds = spark.createDataFrame([(1,), (5,), (999999999,)], "seed int")
-    part = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").alias("seed"))
-    return seeds.join(part, "seed", "left").select("seed", "p_partkey", F.when(F.col("p_partkey").isNull(), F.lit("unresolved")).otherwise(F.lit("ok")).alias("reason"))
-
-
 @query("gr08_backward_closure", """
 WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + p_size AS dst FROM part), w(node) AS (SELECT 150::BIGINT UNION SELECT src FROM w JOIN e ON node = dst) SELECT node FROM w""")
 def gr08(spark, sf):

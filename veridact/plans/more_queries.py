@@ -221,13 +221,6 @@ def lif02(spark, sf):
     return table(spark, sf, "orders").join(checks, "o_orderkey", "left").select("o_orderkey", L.first_true([(open_ & (F.col("n") > 0), "fixed"), (open_, "fix_candidate")], "persisting").alias("state"))
 
 
-@query("lif03_lifecycle_metrics", "SELECT o_orderstatus AS state, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM orders GROUP BY 1")
-def lif03(spark, sf):
-    orders = table(spark, sf, "orders")
-    total = orders.count()
-    return orders.groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(total), 6))
-
-
 @query("agg30_completion", "SELECT event_type, min(value) AS low, max(value) AS high, count(*) FILTER (value IS NULL) AS unknown FROM events GROUP BY 1")
 def agg30(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(F.col("value").isNull()).alias("unknown"))

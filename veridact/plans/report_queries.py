@@ -216,3 +216,60 @@ SELECT module, subject, CASE WHEN gap IS NULL THEN start END::INT AS start, CASE
 def dom35(spark, sf):
     kept, gaps = R.subjects(select(spark, sf, MODULES), select(spark, sf, PIECES).withColumnRenamed("stop", "end"), select(spark, sf, HINTS), 30)
     return kept.unionByName(gaps, allowMissingColumns=True).withColumnRenamed("end", "stop")
+
+
+COMMANDS = """
+SELECT c_custkey AS command, 'cc ' || CASE c_custkey % 6 WHEN 0 THEN '-L -lhidden -lz' WHEN 1 THEN '-l ssl -o -lout' WHEN 2 THEN '-l:libpq.so.5 -framework Cocoa' WHEN 3 THEN '-I -l m.c' WHEN 4 THEN '-lz -lz -l-bad' ELSE 'main.c -l' END || ' -lc' || CAST(c_nationkey % 3 AS VARCHAR(9)) AS line FROM customer"""
+
+
+@query("dom06_link_candidates", f"""
+WITH c AS ({COMMANDS}), f AS (SELECT command, 'c' || split_part(line, ' -lc', 2) AS name, 'link_flag' AS kind, '-lc' || split_part(line, ' -lc', 2) AS value FROM c WHERE command % 6 <> 5
+  UNION ALL SELECT command, 'z', 'link_flag', '-lz' FROM c WHERE command % 6 IN (0, 4) UNION ALL SELECT command, 'ssl', 'link_flag', 'ssl' FROM c WHERE command % 6 = 1
+  UNION ALL SELECT command, 'pq', 'exact_library_name', '-l:libpq.so.5' FROM c WHERE command % 6 = 2 UNION ALL SELECT command, 'Cocoa', 'framework', 'Cocoa' FROM c WHERE command % 6 = 2)
+SELECT name, kind, min(value) AS value, count(DISTINCT command) AS commands, 0::BIGINT AS left_out FROM f GROUP BY 1, 2""")
+def dom06(spark, sf):
+    rows = select(spark, sf, COMMANDS).select("command", F.split("line", " ").alias("argv"))
+    found, left_out = R.link_candidates(rows, ["-L", "-o", "-I", "-isystem"], 4096)
+    return found.withColumn("left_out", F.lit(left_out).cast("long"))
+
+
+PRIOR = "SELECT o_orderkey AS finding, CASE o_orderkey % 4 WHEN 0 THEN 'persisting' WHEN 1 THEN 'fixed' WHEN 2 THEN 'not_redetected' ELSE 'not_covered' END AS state, CASE o_custkey % 3 WHEN 0 THEN 'high' ELSE 'low' END AS severity, o_custkey % 5 > 0 AS change_known FROM orders"
+CURRENT = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'new' ELSE 'persisting' END AS state FROM orders"
+AGES = "SELECT o_orderkey AS finding, o_custkey % 9 AS age FROM orders"
+
+
+@query("lif03_lifecycle_metrics", f"""
+WITH p AS (SELECT * FROM ({PRIOR}) JOIN ({AGES}) USING (finding))
+SELECT count(*) FILTER (state = 'persisting') AS n_persisting, count(*) FILTER (state = 'fixed') AS n_fixed, count(*) FILTER (state = 'not_redetected') AS n_not_redetected, count(*) FILTER (state = 'not_covered') AS n_not_covered, 0::BIGINT AS n_regressed,
+  round(count(*) FILTER (state = 'persisting') / count(*), 6) AS persisting_rate, round(count(*) FILTER (state = 'fixed') / count(*), 6) AS fixed_rate, round(count(*) FILTER (state = 'not_redetected') / count(*), 6) AS not_redetected_rate, round(count(*) FILTER (state = 'not_covered') / count(*), 6) AS not_covered_rate, 0::DOUBLE AS regressed_rate,
+  count(*) FILTER (NOT change_known) AS change_unknown, (SELECT count(*) FROM ({CURRENT}) WHERE state = 'new') AS introduced, (median(age) FILTER (state = 'persisting' AND severity = 'high'))::DOUBLE AS median_age FROM p""")
+def lif03(spark, sf):
+    states = ["persisting", "fixed", "not_redetected", "not_covered", "regressed"]
+    found = R.lifecycle_metrics(select(spark, sf, PRIOR), select(spark, sf, CURRENT), states, select(spark, sf, AGES))
+    return found.withColumns({f"{s}_rate": F.round(f"{s}_rate", 6) for s in states})
+
+
+EDGES = "SELECT 'f' || CAST(l_suppkey % 40 AS VARCHAR(9)) AS caller, CASE l_linenumber % 4 WHEN 0 THEN 'agree' WHEN 1 THEN 'conflict' WHEN 2 THEN 'not_covered' ELSE 'secondary_only' END AS state FROM lineitem"
+OWN = "SELECT 'f' || CAST(p_partkey AS VARCHAR(9)) AS function FROM part WHERE p_partkey BETWEEN 3 AND 60"
+
+
+@query("agg36_scorecard", f"""
+WITH f AS ({OWN}), c AS ({EDGES}), g AS (SELECT f.function, count(*) FILTER (state = 'agree') AS agree, count(*) FILTER (state = 'conflict') AS conflict, count(*) FILTER (state = 'not_covered') AS not_covered, count(*) FILTER (state = 'secondary_only') AS secondary_only, count(state) AS total FROM f LEFT JOIN c ON caller = f.function GROUP BY 1)
+SELECT * FROM g UNION ALL SELECT NULL, count(*) FILTER (state = 'agree'), count(*) FILTER (state = 'conflict'), count(*) FILTER (state = 'not_covered'), count(*) FILTER (state = 'secondary_only'), count(*) FROM c WHERE caller NOT IN (SELECT function FROM f)""")
+def agg36(spark, sf):
+    states = ["agree", "conflict", "not_covered", "secondary_only"]
+    own, lost = R.scorecard(select(spark, sf, OWN), select(spark, sf, EDGES), states)
+    rest = lost.agg(*[F.coalesce(F.sum(F.when(F.col("state") == s, F.col("n"))), F.lit(0)).alias(s) for s in states], F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return own.union(rest.select(F.lit(None).cast("string"), *states, "total"))
+
+
+WANTED = "SELECT p_partkey AS seed, 'src/' || CAST(p_partkey % 20 AS VARCHAR(9)) AS path, 'n' || CAST(p_size % 5 AS VARCHAR(9)) AS name FROM part"
+DEFINED = "SELECT 'fn' || CAST(c_custkey AS VARCHAR(9)) AS function, 'src/' || CAST(c_custkey % 25 AS VARCHAR(9)) AS path, 'n' || CAST(c_nationkey % 7 AS VARCHAR(9)) AS name FROM customer WHERE c_custkey < 120"
+COMPILED = "SELECT 'fn' || CAST(o_custkey AS VARCHAR(9)) AS function, 'u' || CAST(o_orderkey % 9 AS VARCHAR(9)) AS unit FROM orders WHERE o_custkey % 3 > 0"
+
+
+@query("dom50_scope_seeds", f"""
+WITH w AS ({WANTED}), d AS ({DEFINED}), m AS (SELECT seed, count(function) AS n, min(function) AS f FROM w LEFT JOIN d USING (path, name) GROUP BY 1), u AS (SELECT function, min(unit) AS unit FROM ({COMPILED}) GROUP BY 1)
+SELECT seed, CASE WHEN n = 1 THEN f END AS function, CASE WHEN n = 1 THEN unit END AS unit, CASE WHEN n = 0 THEN 'function_not_found' WHEN n > 1 THEN 'function_ambiguous' WHEN unit IS NULL THEN 'unit_not_found' END AS reason FROM m LEFT JOIN u ON u.function = m.f AND n = 1""")
+def dom50(spark, sf):
+    return R.scope_seeds(*[select(spark, sf, s) for s in (WANTED, DEFINED, COMPILED)])
