@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,34 @@ def test_shared_paths_are_named_and_discarded(spark):
     path = shared_path(spark, "test")
     spark.range(3).write.parquet(path)
     assert discard(spark) >= 1 and not os.path.exists(path)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """How many rows walks write, cut by cut."""
+    counts, cut = [], W.cut
+
+    def counted(df, tag):
+        out = cut(df, tag)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(W, "cut", counted)
+    return counts
+
+
+def test_supporting_shares_the_walk_of_equal_starts(spark, written, monkeypatch):
+    n, r = 300, random.Random(5)
+    kinds = ["SUPPORTS", "DERIVED_FROM", "MENTIONS"]
+    around = [(f"d{i}", "DERIVED_FROM", "hub") for i in range(n)] + [(f"s{i}", "SUPPORTS", "hub") for i in range(n)]
+    mixed = [(f"x{r.randrange(30)}", r.choice(kinds), f"x{r.randrange(30)}") for _ in range(70)]
+    for rows, a_task in ((around, 1000), (around, 7), (mixed, 2)):
+        monkeypatch.setattr(W, "STARTS_A_TASK", a_task)
+        edges = {(t, s) if k == "SUPPORTS" else (s, t) for s, k, t in rows if k != "MENTIONS"}
+        want = {(a, c): 2 for a, b in edges for x, c in edges if b == x and a != c} | {(a, b): 1 for a, b in edges if a != b}
+        names = sorted({x for s, _, t in rows for x in (s, t)})
+        written.clear()
+        found = W.supporting(spark.createDataFrame(rows, "source string, kind string, target string"), spark.createDataFrame([(x,) for x in names], "identity string"))
+        got = [((x["identity"], x["evidence"]), x["hops"]) for x in found.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        assert rows is mixed or (len(want) == n * n + 2 * n and sum(written) < 20 * n)
