@@ -232,3 +232,29 @@ def test_supporting_shares_the_walk_of_equal_starts(spark, written, monkeypatch)
         got = [((x["identity"], x["evidence"]), x["hops"]) for x in found.collect()]
         assert len(got) == len(want) and dict(got) == want
         assert rows is mixed or (len(want) == n * n + 2 * n and sum(written) < 20 * n)
+
+
+def test_include_closure_shares_the_walk_of_equal_units(spark, written):
+    n, m = 200, 30
+    r = random.Random(6)
+    units = [(i, f"src/m{i}.c") for i in range(n)]
+    includes = [(f"src/m{i}.c", False, f"h{i % 2}.h") for i in range(n)] + [(f"{d}/h{i}.h", False, f"h{j}.h") for d in ("a", "b") for i in range(m) for j in {(i + 2) % m, r.randrange(m)}]
+    files = [(f"a/h{i}.h",) for i in range(m)] + [(f"b/h{i}.h",) for i in range(0, m, 3)] + [(p,) for _, p in units]
+    directories = [(i, False, p, d) for i in range(n) for p, d in enumerate(("a", "b") if i % 3 else ("b", "a"))]
+    held, looks = {p for p, in files}, {}
+    for u, _, p, d in directories:
+        looks.setdefault(u, {})[p] = d
+    want = set()
+    for u, main in units:
+        front = [main]
+        while front:
+            p = front.pop()
+            if (u, p) not in want:
+                want.add((u, p))
+                for q, _, name in includes:
+                    if q == p:
+                        front += [f"{looks[u][k]}/{name}" for k in sorted(looks[u]) if f"{looks[u][k]}/{name}" in held][:1]
+    frames = [spark.createDataFrame(x, s) for x, s in ((units, "unit long, main string"), (includes, "path string, quoted boolean, name string"), (files, "path string"), (directories, "unit long, quoted boolean, place int, directory string"))]
+    got = [tuple(x) for x in W.include_closure(*frames).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(written) < len(want)
