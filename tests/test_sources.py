@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from conftest import rows
 
-from veridact.sources import coverage, documents, feeds, findings, history, profiles, sinks
+from veridact.sources import coverage, documents, feeds, findings, history, pages, profiles, sinks
 
 
 def lines(spark, text, file="f"):
@@ -122,3 +122,14 @@ def test_publish_reuses_equal_content(spark, tmp_path):
     assert wrote and again == (path, False)
     sinks.write_json_cells(spark.createDataFrame([(None, 'a"b', 1)], "x string, y string, z int"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first().asDict() == {"x": "null", "y": '"a\\"b"', "z": "1"}
+
+
+def test_names_of_many_sorted_files_sort_as_their_rows(spark, tmp_path):
+    n = 6001
+    numbers = spark.range(n).selectExpr("(id * 7919) % 6001 AS k").repartition(3)
+    for name, per_file, most in (("one", 1, n), ("several", 7, 858)):
+        found = pages.write_sorted(numbers, str(tmp_path / name), ["k"], per_file)
+        paths = sorted((tmp_path / name).glob("part-*"))
+        assert len(paths) == found.count() == most
+        assert [json.loads(line)["k"] for p in paths for line in p.read_text().split()] == list(range(n))
+    assert pages.write_sorted(numbers.limit(0), str(tmp_path / "none"), ["k"], 7).count() <= 1

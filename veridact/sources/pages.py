@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
@@ -10,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridact.operators.ranking import global_rank
 from veridact.sources.sinks import hashed
 
+#: Sorted files that one task writes; more only if there are over 100,000 tasks.
+FILES_A_TASK = 200
+
 #: Gaps after which no more requests are made.
 STOP_GAPS = ("rate_limited", "request_budget_exhausted")
 
@@ -128,8 +133,16 @@ def read_wanted(spark: SparkSession, path: str, schema: str, key: str, wanted: D
 def write_sorted(rows: DataFrame, path: str, order: list[str], per_file: int) -> DataFrame:
     """Rows as sorted line files of at most ``per_file`` rows, whose names sort as their rows do; (name, sha256, rows) of each.
 
-    Ranges are sorted by their own tasks, so nothing is gathered; a file is closed by the sink when it is full.
+    Spark's names sort by task and, up to a thousand files, within a task: each task gets the rows of so many files by their place among all.
+    Places are taken by range, so nothing is gathered; a file is closed by the sink when it is full.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.option("maxRecordsPerFile", per_file).json(path)
+    ranked = global_rank(rows, [F.col(c) for c in order], "sorted_place")
+    total = ranked.agg(F.count("*").alias("n")).first()["n"]
+    files = math.ceil(total / per_file)
+    a_task = max(FILES_A_TASK, math.ceil(files / 100_000))
+    if a_task > 1000:
+        raise ValueError(f"{files} files are too many for names that sort; write more rows to a file")
+    task = F.expr(f"CAST((sorted_place - 1) DIV {per_file * a_task} AS INT)")
+    dealt = ranked.repartitionById(max(1, math.ceil(files / a_task)), task).sortWithinPartitions("sorted_place").drop("sorted_place")
+    dealt.write.option("maxRecordsPerFile", per_file).json(path)
     return hashed(rows.sparkSession, path)
