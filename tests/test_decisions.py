@@ -258,3 +258,11 @@ def test_include_closure_shares_the_walk_of_equal_units(spark, written):
     got = [tuple(x) for x in W.include_closure(*frames).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert sum(written) < len(want)
+
+
+def test_a_path_that_comes_twice_is_not_claimed_twice(spark):
+    paths = spark.createDataFrame([("a/b",), ("a/b",), ("c",), (None,), (None,)], "path string")
+    claims = spark.createDataFrame([("a/", "x"), ("", "all")], "prefix string, dataset string")
+    assert sorted(map(tuple, O.owned_paths(paths, claims).collect()), key=repr) == [("a/b", "x"), ("c", "all"), (None, None)]
+    with pytest.raises(Exception, match="claimed twice"):
+        O.owned_paths(paths, claims.union(spark.createDataFrame([("a/", "y")], claims.schema))).collect()

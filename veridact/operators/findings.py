@@ -201,11 +201,12 @@ def owned_paths(paths: DataFrame, claims: DataFrame) -> DataFrame:
 
     ``claims``: prefix, dataset. Joined on all prefixes of a path, as text.
     """
+    paths = paths.select("path").distinct()
     starts = paths.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("prefix"))
     met = starts.join(claims.select("prefix", "dataset").distinct(), "prefix").withColumn("n", F.length("prefix"))
     best = met.groupBy("path").agg(F.max("n").alias("n")).join(met, ["path", "n"]).groupBy("path").agg(F.min("dataset").alias("dataset"), F.count("*").alias("k"))
     checked = F.when(F.col("k") > 1, F.raise_error(F.concat(F.lit("claimed twice: "), "path")).cast("string")).otherwise(F.col("dataset"))
-    return paths.select("path").distinct().join(best.select("path", checked.alias("dataset")), "path", "left")
+    return paths.join(best.select("path", checked.alias("dataset")), "path", "left")
 
 
 def memory_context(sites: DataFrame, facts: DataFrame, most: int) -> DataFrame:
