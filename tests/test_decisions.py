@@ -266,3 +266,35 @@ def test_a_path_that_comes_twice_is_not_claimed_twice(spark):
     assert sorted(map(tuple, O.owned_paths(paths, claims).collect()), key=repr) == [("a/b", "x"), ("c", "all"), (None, None)]
     with pytest.raises(Exception, match="claimed twice"):
         O.owned_paths(paths, claims.union(spark.createDataFrame([("a/", "y")], claims.schema))).collect()
+
+
+def test_memory_context_counts_facts_once_for_equal_lines(spark):
+    """Sites on one line share its facts; one that stands on several lines has the facts of all, each once."""
+    r = random.Random(8)
+    sites = [(i, "f", i % 2) for i in range(3000)] + [(5000, "f", 0), (5000, "f", 1), (5000, "f", 9), (5001, None, 1), (5002, "g", 1)]
+    facts = [("f", i % 2, f"m{r.randrange(400)}") for i in range(3000)]
+    found = O.memory_context(spark.createDataFrame(sites, "site long, path string, line int"), spark.createDataFrame(facts, "path string, line int, fact string"), 4)
+    want = {}
+    for s, p, n in sites:
+        want.setdefault(s, set()).update(f for q, m, f in facts if (q, m) == (p, n)) if s >= 5000 or s < 2 else want.setdefault(s, want[s % 2])
+    assert {x["site"]: (x["facts"], x["omitted"]) for x in found.collect()} == {s: (sorted(fs)[:4], max(0, len(fs) - 4)) for s, fs in want.items()}
+    observed = [int(m["numOutputRows"]) for m in join_rows(found)]
+    assert observed and max(observed) < 10 * len(sites)
+
+
+def join_rows(df):
+    """The metrics of all joins of a plan that has run."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while todo:
+        node = todo.pop()
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if "Join" in kind:
+            out.append({"numOutputRows": node.metrics().apply("numOutputRows").value()})
+    return out

@@ -210,13 +210,17 @@ def owned_paths(paths: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def memory_context(sites: DataFrame, facts: DataFrame, most: int) -> DataFrame:
-    """(site, facts, omitted): what a points-to analysis says about a site's line, the first ``most`` facts by id, and how many more."""
-    met = sites.join(facts.select("path", "line", "fact"), ["path", "line"]).select("site", "fact").distinct()
-    placed = met.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("fact")))
-    kept = placed.filter(F.col("place") <= most).groupBy("site").agg(F.array_sort(F.collect_list("fact")).alias("facts"))
-    size = met.groupBy("site").agg(F.count("*").alias("n"))
-    out = sites.select("site").distinct().join(kept, "site", "left").join(size, "site", "left")
-    return out.select("site", F.coalesce("facts", F.array().cast("array<string>")).alias("facts"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"))
+    """(site, facts, omitted): what a points-to analysis says about a site's line, the first ``most`` facts by id, and how many more.
+
+    Facts are counted once for each different set of lines that sites stand on, not for each site.
+    """
+    placed = sites.groupBy("site").agg(F.array_sort(F.collect_set(F.struct("path", "line"))).alias("places"))
+    asked = placed.select("places").distinct().select("places", F.explode("places").alias("p")).select("places", "p.*")
+    met = asked.join(facts.select("path", "line", "fact").distinct(), ["path", "line"]).select("places", "fact").distinct()
+    ranked = met.withColumn("place", F.row_number().over(Window.partitionBy("places").orderBy("fact")))
+    first = F.when(F.col("place") <= most, F.col("fact"))
+    found = ranked.groupBy("places").agg(F.array_sort(F.collect_list(first)).alias("facts"), F.count("*").alias("n"))
+    return placed.join(found, "places", "left").select("site", F.coalesce("facts", F.array().cast("array<string>")).alias("facts"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"))
 
 
 def rule_hits(files: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
