@@ -298,3 +298,26 @@ def join_rows(df):
         if "Join" in kind:
             out.append({"numOutputRows": node.metrics().apply("numOutputRows").value()})
     return out
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def tree(spark):
+    return spark.createDataFrame([("f", [1], "function_definition", None, True, "def", 1, 5, False), ("f", [1, 0], "identifier", "name", True, "g", 1, 1, False), ("f", [1, 1], "if_statement", "body", True, "if", 2, 3, False)],
+        "file string, ordinal array<int>, type string, field string, named boolean, text string, start_line int, end_line int, error boolean")
+
+
+def test_functions_broadcast_no_nodes(spark):
+    """Trees are small as files and large in memory, so the size of a file says nothing about a broadcast."""
+    found = S.functions(tree(spark), ["function_definition"], ["if_statement"], ["if_statement"], [], ["&&"], [], ["identifier"])
+    assert "BroadcastHashJoin" not in planned(found)
+    assert [(r["qualified_name"], r["cyclomatic"]) for r in found.collect()] == [("g", 2)]
+    assert "BroadcastHashJoin" not in planned(S.file_summary(found, 3))
+
+
+def test_projection_broadcasts_no_nodes(spark):
+    found = S.project(tree(spark), ["function_definition"], ["call"], ["import_statement"], ["identifier"])
+    assert "BroadcastHashJoin" not in planned(found)
+    assert sorted((r["category"], r["written_name"]) for r in found.collect()) == [("definition", "g"), ("reference", "g")]
