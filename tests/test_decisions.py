@@ -321,3 +321,16 @@ def test_projection_broadcasts_no_nodes(spark):
     found = S.project(tree(spark), ["function_definition"], ["call"], ["import_statement"], ["identifier"])
     assert "BroadcastHashJoin" not in planned(found)
     assert sorted((r["category"], r["written_name"]) for r in found.collect()) == [("definition", "g"), ("reference", "g")]
+
+
+def test_flows_and_unknowns_broadcast_no_sites(spark, small):
+    from veridact.operators import threats as T
+    from veridact.plans import evidence_queries as E
+
+    assert "BroadcastHashJoin" not in planned(E._acts(spark, small))
+    sites, owned = E._acts(spark, small), E._owned(spark, small)
+    rules = spark.createDataFrame(E.RULES, "interaction string, peer string, direction string, boundary string")
+    found = T.flows(sites.drop("unit", "path"), owned, rules, 3)
+    lost = T.unknowns(rules.select(F.col("peer").alias("process")), found, rules.select(F.col("peer").alias("library")), rules.select(F.col("peer").alias("library")), sites.select("site", "interaction", "path"), owned)
+    for plan in (planned(found), planned(lost)):
+        assert "BroadcastHashJoin [site" not in plan and "SortMergeJoin [site" in plan

@@ -35,7 +35,8 @@ def flows(sites: DataFrame, owned: DataFrame, rules: DataFrame, most_evidence: i
     direction, boundary; an interaction without a rule goes out to a store of its own and crosses nothing. The surest basis of
     the sites is the flow's; of ownership, the least sure. Evidence is the strongest, then the first, ``most_evidence`` at most.
     """
-    met = sites.join(owned.filter("process IS NOT NULL"), "site").join(rules, "interaction", "left")
+    # sites and their owners are small as files and large in memory: neither is broadcast by the size of its files
+    met = sites.join(owned.filter("process IS NOT NULL").hint("merge"), "site").join(rules, "interaction", "left")
     peer = F.coalesce(F.concat(F.lit("ext:"), "peer"), F.concat(F.lit("store:"), "interaction"))
     placed = met.withColumns({"peer": peer, "direction": F.coalesce("direction", F.lit("outbound")), "b": _rank("basis", BASES), "o": _rank("rule", OWNERSHIP)})
     keys = ["process", "peer", "interaction", "direction", "boundary"]
@@ -52,7 +53,7 @@ def flows(sites: DataFrame, owned: DataFrame, rules: DataFrame, most_evidence: i
 def entry_points(sites: DataFrame, owned: DataFrame, rules: DataFrame) -> DataFrame:
     """(process, site, interaction, basis): the sites at which something comes in."""
     inward = rules.filter("direction = 'inbound'").select("interaction")
-    return sites.join(inward, "interaction", "left_semi").join(owned.filter("process IS NOT NULL").select("site", "process"), "site").select("process", "site", "interaction", "basis").distinct()
+    return sites.join(inward, "interaction", "left_semi").join(owned.filter("process IS NOT NULL").select("site", "process").hint("merge"), "site").select("process", "site", "interaction", "basis").distinct()
 
 
 def unknowns(processes: DataFrame, found: DataFrame, folded: DataFrame, libraries: DataFrame, sites: DataFrame, owned: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def unknowns(processes: DataFrame, found: DataFrame, folded: DataFrame, librarie
     out = out.union(named(libraries.join(folded.select("library").distinct(), "library", "left_anti"), "runtime_role_unknown", F.col("library")))
     lost = owned.groupBy("site").agg(F.count("process").alias("n")).filter("n = 0").select("site")
     segment = F.coalesce(F.substring_index("path", "/", 1), F.lit("an unstated path"))
-    unowned = sites.join(lost, "site", "left_semi").groupBy(F.concat_ws("|", "interaction", segment).alias("subject")).agg(F.count("*").alias("n"))
+    unowned = sites.join(lost.hint("merge"), "site", "left_semi").groupBy(F.concat_ws("|", "interaction", segment).alias("subject")).agg(F.count("*").alias("n"))
     return out.union(unowned.select(F.lit("flow_endpoint_unresolved"), "subject", "n"))
 
 

@@ -90,6 +90,11 @@ RULES = [("view", "user", "inbound", "network"), ("click", "user", "inbound", "n
 TEMPLATES = [("spoof", "view", "network", "inbound"), ("tamper", "view", "network", "inbound"), ("repudiate", "purchase", "process", "outbound"), ("leak", "click", "network", "outbound")]
 
 
+def _acts(spark, sf):
+    """Events joined with themselves; neither side is broadcast."""
+    return select(spark, sf, ACTS.replace("SELECT", "SELECT /*+ MERGE(e) */", 1))
+
+
 def _owned(spark, sf):
     known = lambda c: F.array_compact(F.array(c))
     things = select(spark, sf, THINGS).select("thing", known("unit").alias("units"), known("path").alias("paths"), known("root").alias("roots"))
@@ -98,7 +103,7 @@ def _owned(spark, sf):
 
 def _flows(spark, sf):
     rules = spark.createDataFrame(RULES, "interaction string, peer string, direction string, boundary string")
-    return cut(T.flows(select(spark, sf, ACTS).drop("unit", "path"), _owned(spark, sf), rules, 3), "flows")
+    return cut(T.flows(_acts(spark, sf).drop("unit", "path"), _owned(spark, sf), rules, 3), "flows")
 
 
 OWNERS = f"""{FOLDED}, t AS ({THINGS}), s AS ({SITES}),
@@ -125,7 +130,7 @@ UNION ALL SELECT u.x, process, 1 FROM (SELECT DISTINCT process FROM fl WHERE bou
 UNION ALL SELECT 'datastore_unidentified', process || '|' || peer, 1 FROM (SELECT DISTINCT process, peer FROM fl WHERE peer LIKE 'store:%') UNION ALL SELECT 'runtime_role_unknown', library, 1 FROM l WHERE library NOT IN (SELECT library FROM o)
 UNION ALL SELECT 'flow_endpoint_unresolved', interaction || '|' || coalesce(split_part(path, '/', 1), 'an unstated path'), count(*) FROM ac WHERE site NOT IN (SELECT site FROM ow) GROUP BY 2""")
 def dom32b(spark, sf):
-    return T.unknowns(select(spark, sf, PROCESSES), _flows(spark, sf), _folded(spark, sf), select(spark, sf, LIBRARIES), select(spark, sf, ACTS).select("site", "interaction", "path"), _owned(spark, sf))
+    return T.unknowns(select(spark, sf, PROCESSES), _flows(spark, sf), _folded(spark, sf), select(spark, sf, LIBRARIES), _acts(spark, sf).select("site", "interaction", "path"), _owned(spark, sf))
 
 
 @query("jn22_threats", f"""
